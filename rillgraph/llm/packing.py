@@ -5,7 +5,7 @@ padding is in practice). Dynamic programming over the histogram chooses the buck
 smallest; every row goes to the first bucket whose boundary is not below its length. Inside a bucket, rows form batches
 of as many rows as the token budget holds at the bucket's length.
 
-Batches are numbered inside shards: a bucket is dealt over as many shards as its count needs, by a hash of identifier
+Batches are numbered inside shards: a bucket is dealt over as many shards as its tokens need, by a hash of identifier
 and length, so a bucket with a third of all rows is not one task's work; at most one batch of each shard isn't full.
 
 The histogram has one row for each aligned length. Should there be more than ``max_lengths``, ``align`` is doubled until
@@ -72,7 +72,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def pack(df: DataFrame, length: Column, doc_id: str = "doc_id", *, token_budget: int = 8192, buckets: int = 16, align: int = 8, max_lengths: int = 4096, shard_rows: int = 8192) -> DataFrame:
+def pack(df: DataFrame, length: Column, doc_id: str = "doc_id", *, token_budget: int = 8192, buckets: int = 16, align: int = 8, max_lengths: int = 4096, shard_tokens: int = 2_000_000) -> DataFrame:
     """``df`` with ``n_tokens, bucket, bucket_length, shard, batch, padding``; a batch is known by bucket, shard and batch."""
     if taken := set(ADDED) & {c.lower() for c in df.columns}:
         raise ValueError(f"columns already there: {sorted(taken)}")
@@ -88,8 +88,8 @@ def pack(df: DataFrame, length: Column, doc_id: str = "doc_id", *, token_budget:
     longs = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs]).cast("array<bigint>")
     bucket = F.lit(0) if len(ends) < 2 else sum((F.when(F.col("n_tokens") > e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
     per_batch = [max(1, token_budget // max(1, e)) for e in ends]
-    # a shard holds whole batches' worth of rows on average
-    shards = [max(1, -(-n // max(shard_rows, m))) for n, m in zip(rows_in, per_batch, strict=True)]
+    # a shard has about shard_tokens tokens with their padding, and at least one batch, so its size doesn't grow
+    shards = [max(1, n * max(1, e) // max(shard_tokens, m * e)) for n, m, e in zip(rows_in, per_batch, ends, strict=True)]
     placed = sized.withColumn("bucket", bucket.cast("int"))
     size_of = free_name(df, "per_batch")
     placed = placed.withColumns({"bucket_length": F.get(longs(ends), F.col("bucket")), size_of: F.get(longs(per_batch), F.col("bucket")), "shard": F.pmod(F.xxhash64(doc_id, "n_tokens"), F.get(longs(shards), F.col("bucket"))).cast("int")})
