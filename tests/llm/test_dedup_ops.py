@@ -201,3 +201,44 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() == seen[-1]
     odd_rows = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0)], docs.schema))
     assert corpus_pipeline.identify_language(spark, odd_rows, sf).where("doc_id is null or doc_id = 1000000000").count() == 0
+
+
+def test_line_distance(spark):
+    rng = random.Random(5)
+
+    def distance(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 5)))
+    lines = ["x", "x x", "x x x", "x y", "x y z"]
+    for _ in range(25):
+        w = [word() for _ in range(rng.randrange(1, 12))]
+        lines.append(" ".join(w))
+        for _ in range(3):
+            k = rng.randrange(len(w))
+            w = w[:k] + [word() for _ in range(rng.randrange(3))] + w[k + rng.randrange(2) :] or ["x"]
+            lines.append(" ".join(w))
+    texts = spark.createDataFrame(list(enumerate(lines)), "line long, norm string")
+    pairs = texts.select(F.col("line").alias("a")).join(texts.select(F.col("line").alias("b")), F.col("a") < F.col("b"))
+    for alike in (0.5, 0.8):
+        got = {(r.a, r.b) for r in line_dedup._verified(pairs, texts, alike).collect()}
+        want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if distance(a, b) <= int((1 - alike) * max(len(a), len(b)) + 1e-9)}
+        assert got == want
+
+
+def test_line_bits(spark):
+    rows = [(1, "a b c d a b"), (2, "w"), (3, "x " * 3000 + "y")]
+    hashed = line_dedup._simhash(spark.createDataFrame(rows, "line long, norm string"))
+    got = {r.line: r.simhash for r in hashed.collect()}
+    for line, norm in rows:
+        w = norm.split(" ")
+        p = list(zip(w, w[1:], strict=False)) or [(w[0], w[0])]
+        h = [r.h for r in spark.createDataFrame(p, "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect()]
+        bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+        assert got[line] % (1 << 64) == bits
