@@ -242,3 +242,14 @@ def test_line_bits(spark):
         h = [r.h for r in spark.createDataFrame(p, "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect()]
         bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
         assert got[line] % (1 << 64) == bits
+
+
+def test_line_blocks(spark):
+    assert [line_dedup.enough_blocks(n, 3) for n in (0, 1, 2_000_000, 4_000_000, 120_000_000, 10**9)] == [5, 5, 5, 6, 6, 7]
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(20)]
+    v = base + [b ^ sum({1 << rng.randrange(64) for _ in range(k)}) for b in base for k in (1, 2, 3, 4)]
+    hashes = common.saved(spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(v)], "line long, simhash long"), "t")
+    want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if (v[i] ^ v[j]).bit_count() <= 3}
+    for blocks in (5, 6, 7):
+        assert {(r.a, r.b) for r in line_dedup._pairs(hashes, blocks, 3).collect()} == want
