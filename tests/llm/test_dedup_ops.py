@@ -253,3 +253,20 @@ def test_line_blocks(spark):
     want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if (v[i] ^ v[j]).bit_count() <= 3}
     for blocks in (5, 6, 7):
         assert {(r.a, r.b) for r in line_dedup._pairs(hashes, blocks, 3).collect()} == want
+
+
+def test_line_recall(spark):
+    """Pairs of lines with one replaced word that are 0.8 alike."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioubdgklmnprstvz") for _ in range(rng.randrange(3, 8)))
+    rows = []
+    for sizes in ((5, 10), (10, 20), (20, 40), (40, 80)):
+        for _ in range(100):
+            w = [word() for _ in range(rng.randrange(*sizes))]
+            at = rng.randrange(len(w))
+            rows += [" ".join(w), " ".join([*w[:at], word()[: len(w[at])], *w[at + 1 :]])]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "line long, norm string")
+    planted = spark.createDataFrame([(i, i + 1) for i in range(0, len(rows), 2)], "a long, b long")
+    want = {(r.a, r.b) for r in line_dedup._verified(planted, df, 0.8).collect()}
+    got = {(r.a, r.b) for r in line_dedup._alike(common.saved(df, "t"), 12, 3).collect()}
+    assert len(want) > 300 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
