@@ -6,6 +6,9 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -149,28 +152,92 @@ def test_packing(spark):
     assert packing.pack(odd(spark).limit(0), packing.word_count(F.col("text"))).count() == 0
 
 
+def normal(line):
+    kept = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip()
+    return kept or line.strip()
+
+
+def alike_lines(spark, lines, similarity=0.8):
+    """All pairs of lines that are alike enough: counts of letters and letter pairs rule out most, the rest is compared."""
+    lines = sorted(lines, key=len)
+    size = np.array([len(x) for x in lines])
+    letters, twos = np.zeros((len(lines), 31), np.float32), np.zeros((len(lines), 251), np.float32)
+    for i, x in enumerate(lines):
+        b = np.frombuffer(x.encode("utf-32-le"), np.uint32)
+        np.add.at(letters[i], b % 31, 1)
+        np.add.at(twos[i], (b[:-1] * 31 + b[1:]) % 251, 1)
+    rows = []
+    for i in range(len(lines)):
+        j = np.arange(i + 1, np.searchsorted(size, int(size[i] / similarity) + 1, "right"))
+        most = np.floor((1 - similarity) * size[j] + 1e-9)
+        j = j[(np.abs(letters[j] - letters[i]).sum(1) <= 2 * most) & (np.abs(twos[j] - twos[i]).sum(1) <= 4 * most)]
+        rows += [(lines[i], lines[k]) for k in j]
+    found = spark.createDataFrame(pd.DataFrame(rows, columns=["a", "b"])).repartition(8)
+    near = F.expr(f"levenshtein(a, b, cast(floor({1 - similarity} * greatest(char_length(a), char_length(b)) + 1e-9) as int)) >= 0")
+    return {(r.a, r.b) for r in found.where(near).collect()}
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_line_dedup_against_all_pairs(spark, sf):
+    """The query's dropped lines are those of groups made from all pairs of lines at least 0.8 alike, but for a few pairs that aren't candidates."""
+    docs = common.documents(spark, f"/root/testdata/{sf}").select("doc_id", "text").orderBy("doc_id").collect()
+    lines = {(d.doc_id, n): normal(x) for d in docs for n, x in enumerate(d.text.split("\n"))}
+    distinct = sorted({x for x in lines.values() if x})
+    number = {x: i for i, x in enumerate(distinct)}
+    pairs = alike_lines(spark, [x for x in distinct if regex.match(r"[\p{L}\p{M}\p{N}]", x)])
+    root = union_find(len(distinct), [(number[a], number[b]) for a, b in pairs])
+    seen, want = set(), set()
+    for place, x in sorted(lines.items()):
+        if x:
+            group = root[number[x]]
+            if group in seen:
+                want.add(place)
+            seen.add(group)
+    out = queries.op10_line_dedup(spark, f"/root/testdata/{sf}").collect()
+    got = {(r.doc_id, int(n)) for r in out for n in filter(None, r.dropped.split(","))}
+    assert len(out) == len(docs) and all(r.n_lines == d.text.count("\n") + 1 for r, d in zip(sorted(out), docs, strict=True))
+    by_group = {}
+    for place, x in lines.items():
+        if x:
+            by_group.setdefault(root[number[x]], []).append(place)
+    fuzzy = {p for p in want if len({lines[q] for q in by_group[root[number[lines[p]]]]}) > 1}
+    assert got <= want
+    assert want - fuzzy <= got
+    assert len(fuzzy) > 20 and len(got & fuzzy) >= 0.95 * len(fuzzy), (len(fuzzy), len(got & fuzzy))
+
+
 def test_line_dedup(spark):
     long = "the quick brown fox jumps over the lazy dog while the band plays on and on until the morning comes back again "
-    rows = [(1, f"{long}\nalpha\n--\n"), (2, f"intro\n{long.upper()} 12!\nalpha"), (3, f"{long} x"), (4, None), (None, "alpha"), (4, ""), (1, f"{long}\nalpha\n--\n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0))
-    out = {(r.doc_id, r.n_lines): list(r.dropped) for r in line_dedup.duplicate_lines(df).collect()}
-    assert out[(1, 4)] == [] and out[(2, 3)] == [1, 2] and out[(None, 1)] == [0] and out[(4, 1)] == []
+    words = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, f"{long}\nalpha\n--\n"), (2, f"intro\n{long.upper()} 12!\nalpha"), (3, f"{long} x"), (4, None), (None, "alpha"), (4, ""), (1, f"{long}\nalpha\n--\n"), (5, " --\t\n\u0915\u093e\n\u0915\u0940 \n"), (6, words), (7, words.replace("w7 ", "other ")), (8, "+++\n----")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(0)).withColumn("line", F.lit("x"))
+    out = line_dedup.duplicate_lines(df).collect()
+    assert len(out) == len(rows)
+    got = {(r.doc_id, r.n_lines): list(r.dropped) for r in out if r.doc_id != 1}
+    assert got == {(2, 3): [1, 2], (3, 1): [0], (4, 1): [], (None, 1): [0], (5, 4): [0], (6, 1): [], (7, 1): [0], (8, 2): []}
+    assert sorted(list(r.dropped) for r in out if r.doc_id == 1) == [[], [0, 1, 2]]
     assert line_dedup.duplicate_lines(df.limit(0)).count() == 0
     text = df.limit(1).select(line_dedup.without(F.col("text"), F.array(F.lit(1))).alias("t")).first().t
     assert text == f"{long}\n--\n"
-    # candidates and groups against all pairs
-    docs = common.documents(spark, SF).select("doc_id", "text")
-    distinct = line_dedup._lines(docs, "doc_id", "text").groupBy("key").agg(F.min("norm").alias("norm"))
-    distinct = common.saved(distinct.withColumn("line", F.monotonically_increasing_id()), "t")
-    hashes = {r.line: r.simhash for r in line_dedup._simhash(distinct).collect()}
-    for r in distinct.limit(50).collect():
-        w = r.norm.split(" ")
-        assert len(w) < 2 or hashes[r.line] is not None
-    got = {(r.a, r.b) for r in line_dedup._pairs(common.saved(line_dedup._simhash(distinct), "t"), 5, 3).collect()}
-    lines = sorted(hashes)
-    v = np.array([hashes[x] for x in lines], np.int64).view(np.uint64)
-    want = {(lines[i], lines[j]) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[i + 1 :] ^ v[i]) <= 3) + i + 1}
-    assert got == want
+
+
+def test_line_normal_form(spark):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("aB1 .-\u0301\t\ré") for _ in range(rng.randrange(7))) for _ in range(300)] + ["-" * 50_000]
+    df = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+    got = {r.n: r.norm for r in line_dedup._lines(df, "doc_id", "text").collect()}
+    assert got == {i: normal(x) for i, x in enumerate(lines) if normal(x)}
+
+
+def test_line_hot_blocks(spark):
+    """A large group of lines that differ in a word each is one group, with pairs in proportion to the lines."""
+    base = [f"word{i}" for i in range(30)]
+    rows = [(i, " ".join([*base[: i % 30], f"other{i}", *base[i % 30 + 1 :]])) for i in range(3000)]
+    distinct = common.saved(spark.createDataFrame(rows, "line long, norm string"), "t")
+    pairs = common.saved(line_dedup._alike(distinct, 12, 3), "t")
+    assert pairs.count() <= 12 * 4 * 2 * len(rows)
+    found = components(line_dedup._verified(pairs, distinct, 0.8)).collect()
+    assert len(found) >= 0.999 * len(rows) and {r.component for r in found} == {0}
 
 
 def test_pipeline(spark):
@@ -232,29 +299,6 @@ def test_line_distance(spark):
         assert got == want
 
 
-def test_line_bits(spark):
-    rows = [(1, "a b c d a b"), (2, "w"), (3, "x " * 3000 + "y")]
-    hashed = line_dedup._simhash(spark.createDataFrame(rows, "line long, norm string"))
-    got = {r.line: r.simhash for r in hashed.collect()}
-    for line, norm in rows:
-        w = norm.split(" ")
-        p = list(zip(w, w[1:], strict=False)) or [(w[0], w[0])]
-        h = [r.h for r in spark.createDataFrame(p, "a string, b string").select(F.xxhash64("a", "b").alias("h")).collect()]
-        bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
-        assert got[line] % (1 << 64) == bits
-
-
-def test_line_blocks(spark):
-    assert [line_dedup.enough_blocks(n, 3) for n in (0, 1, 2_000_000, 4_000_000, 120_000_000, 10**9)] == [5, 5, 5, 6, 6, 7]
-    rng = random.Random(9)
-    base = [rng.getrandbits(64) for _ in range(20)]
-    v = base + [b ^ sum({1 << rng.randrange(64) for _ in range(k)}) for b in base for k in (1, 2, 3, 4)]
-    hashes = common.saved(spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in enumerate(v)], "line long, simhash long"), "t")
-    want = {(i, j) for i, j in itertools.combinations(range(len(v)), 2) if (v[i] ^ v[j]).bit_count() <= 3}
-    for blocks in (5, 6, 7):
-        assert {(r.a, r.b) for r in line_dedup._pairs(hashes, blocks, 3).collect()} == want
-
-
 def test_line_recall(spark):
     """Pairs of lines with one replaced word that are 0.8 alike."""
     rng = random.Random(3)
