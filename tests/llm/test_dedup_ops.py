@@ -234,8 +234,8 @@ def test_line_hot_blocks(spark):
     base = [f"word{i}" for i in range(30)]
     rows = [(i, " ".join([*base[: i % 30], f"other{i}", *base[i % 30 + 1 :]])) for i in range(3000)]
     distinct = common.saved(spark.createDataFrame(rows, "line long, norm string"), "t")
-    pairs = common.saved(line_dedup._alike(distinct, 12, 3), "t")
-    assert pairs.count() <= 12 * 4 * 2 * len(rows)
+    pairs = common.saved(line_dedup._alike(distinct, 5, 3), "t")
+    assert pairs.count() <= 17 * 4 * 2 * len(rows)
     found = components(line_dedup._verified(pairs, distinct, 0.8)).collect()
     assert len(found) >= 0.999 * len(rows) and {r.component for r in found} == {0}
 
@@ -312,5 +312,5 @@ def test_line_recall(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "line long, norm string")
     planted = spark.createDataFrame([(i, i + 1) for i in range(0, len(rows), 2)], "a long, b long")
     want = {(r.a, r.b) for r in line_dedup._verified(planted, df, 0.8).collect()}
-    got = {(r.a, r.b) for r in line_dedup._alike(common.saved(df, "t"), 12, 3).collect()}
+    got = {(r.a, r.b) for r in line_dedup._alike(common.saved(df, "t"), 5, 3).collect()}
     assert len(want) > 300 and len(want & got) >= 0.95 * len(want), (len(want), len(want & got))
