@@ -1,21 +1,27 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings (4 and 5 letters), lower-cased; a term that stands in every text by definition
-keeps vectors from being empty, so texts without telling terms are near the examples without them. Of the terms in the
-labelled sample, those with the largest chi-square against the label make the vocabulary.
+Terms are the lower-cased words of the labelled sample, all of them. A term's weight in a text is (1 + ln occurrences) *
+idf * relevance: idf = ln((1 + N) / (1 + df)) over all N documents of the corpus, and relevance = ``BASE`` plus the
+term's phi coefficient with the label in the sample, as far as its chi-square is above 2 ln(number of terms), which about one
+term passes by chance. The relevance keeps what a text is
+about from hiding what it is called; no term is left out. Vectors have length 1.
+
+The index holds, for each term, the examples that have it and their weights, in blocks of examples, and the largest
+weight in each block. A query's product with these maxima bounds its cosine with every example of a block. The
+``FIRST`` blocks of the largest bounds are read first, and of the others only those whose bound reaches the k-th best
+similarity found, so the k neighbours are exactly those of a full scan (similarities to 5 digits, of equal ones the smaller identifier). Examples
+stand in the order of their most telling and their most frequent term, which keeps the bounds of a block tight.
 
-The index holds the examples in blocks. For each term and block it has the largest weight in that block, so a query's
-product with these maxima bounds its cosine with any example there; a block is read only while its bound reaches the
-k-th best similarity so far. The k neighbours found are therefore exactly those of a full scan (ties: index order).
 Votes are weighted by inverse distance, and an isotonic map fitted to leave-one-out votes makes them probabilities.
 
 The classifier is fitted on a bounded sample: at most ``max_examples`` labelled rows, those with the smallest hash of
-their id among all that may be learnt from. Every text is scored whole.
+their id among all that may be learnt from. Document frequencies are counted over all documents, and every text is
+scored whole.
 
-Defined cases. Null or empty text: the vector of the ever-present term alone. Null labels and null ids don't take part
-in learning; of contradicting labels of one id the larger counts, of rows that share an id the smallest text. No labelled
-rows: score 0 and no evidence. Repeated rows are scored alike. Extra columns pass through; taken names raise
-``ValueError``.
+Defined cases. A text without a known word has no neighbour and gets the sample's share of toxic rows. Null labels and
+null ids don't take part in learning; of contradicting labels of one id the larger counts, of rows that share an id the
+smallest text. No labelled rows: score 0 and no evidence. Repeated rows are scored alike. Invalid UTF-8 is read with
+replacement characters. Extra columns pass through; taken names raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -31,63 +37,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import is_held_out, saved, shipped
+from .common import is_held_out, python_texts, saved, shipped
 
 _WORD = re.compile(r"[^\W\d_]+")
-_EVER = ""  # the term that every text has
 
+#: The relevance of a term that tells nothing.
+BASE = 0.02
 
-def word_terms(word: str) -> tuple[str, ...]:
-    if len(word) <= 4:
-        return (word,)
-    return (word, word[:4] + "*") if len(word) == 5 else (word, word[:4] + "*", word[:5] + "*")
+#: Blocks with the largest bounds, which are read first; of the others those are that can still matter.
+FIRST = 8
 
 
 def terms(text: str | None) -> Counter:
-    """Occurrences of every term of a text."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for t in word_terms(word):
-            out[t] += n
-    return out
+    """Occurrences of every word of a text."""
+    return Counter(_WORD.findall((text or "").lower()))
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all the given ranges, one after another."""
+    before = np.concatenate([[0], sizes.cumsum()[:-1]]) if len(sizes) else sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks, with the largest weight of each term in each block."""
-
-    def __init__(self, vectors: np.ndarray, block: int = 64):
-        # examples with the same heaviest term stand together, which keeps the bounds of a block tight
-        self.order = np.lexsort((np.arange(len(vectors)), vectors.max(1, initial=0), vectors.argmax(1) if vectors.size else np.zeros(len(vectors))))
-        self.block = block
-        cut = vectors[self.order]
-        self.starts = list(range(0, len(cut), block))
-        self.postings = []
-        for s in self.starts:
-            part = cut[s : s + block]
-            own = np.flatnonzero(part.any(0))  # only terms that occur in the block have postings there
-            self.postings.append((own, np.ascontiguousarray(part[:, own].T)))
-        self.maxima = np.stack([cut[s : s + block].max(0) for s in self.starts]).T if self.starts else np.zeros((vectors.shape[1], 0), np.float32)
-
-    def nearest(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Similarities and example numbers of the k nearest of each query; ``skip``: an example to leave out for each."""
-        n = len(queries)
-        best, who = np.full((n, k), -1.0, np.float32), np.full((n, k), -1, np.int64)
-        bounds = queries @ self.maxima
-        # blocks in index order, so that of equal similarities the earlier example stays
-        for b, s in enumerate(self.starts):
-            open_ = np.flatnonzero(bounds[:, b] + 1e-5 > best[:, -1])
-            if not len(open_):
+    """Postings of sparse unit vectors: rows (term, example, weight), sorted by term and example."""
+
+    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, n_terms: int, n_examples: int, block: int = 64):
+        self.block, self.n, self.n_blocks = block, n_examples, -(-n_examples // block)
+        order = np.lexsort((example, term))
+        self.example, self.weight = example[order].astype(np.int32), weight[order].astype(np.float32)
+        cell = term[order] * max(1, self.n_blocks) + self.example // block
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        # a cell is a term's part of a block
+        self.cell_start = first.astype(np.int64)
+        self.cell_size = np.diff(np.concatenate([first, [len(cell)]])).astype(np.int32)
+        self.cell_block = (cell[first] % max(1, self.n_blocks)).astype(np.int32)
+        self.cell_max = (np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)).astype(np.float32)
+        self.term_start = np.searchsorted(cell[first] // max(1, self.n_blocks), np.arange(n_terms + 1))
+        self.read = self.all = 0  # blocks read, and blocks that had any of the terms
+        self.rank: np.ndarray | None = None
+
+    def nearest(self, query: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and numbers (-1: none) of the k nearest examples of n queries, given as rows (query, term, weight)."""
+        best, who = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
+        if not n or not self.n:
+            return best, who
+        count = self.term_start[term + 1] - self.term_start[term]
+        cells = _ranges(self.term_start[term], count)
+        of, by = np.repeat(query.astype(np.int32), count), np.repeat(weight.astype(np.float32), count)
+        pair = of * np.int32(self.n_blocks) + self.cell_block[cells]
+        bound = np.bincount(pair, by * self.cell_max[cells], n * self.n_blocks).reshape(n, self.n_blocks)
+        first = np.zeros((n, self.n_blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        first &= bound > 0
+        self.all += int((bound > 0).sum())
+        for wave in (0, 1):
+            wanted = first if wave == 0 else ~first & (bound > 0) & (bound + 2e-5 >= best[:, -1:])
+            use = np.flatnonzero(wanted.ravel()[pair])
+            if not len(use):
                 continue
-            own, weights = self.postings[b]
-            found = np.round(queries[np.ix_(open_, own)] @ weights, 5)
-            ids = np.broadcast_to(self.order[s : s + self.block], found.shape)
+            self.read += int(wanted.sum())
+            c = cells[use]
+            sizes = self.cell_size[c]
+            post = _ranges(self.cell_start[c], sizes)
+            at = np.repeat(of[use] * np.int32(self.n), sizes)
+            at += self.example[post]
+            by_post = np.repeat(by[use], sizes)
+            by_post *= self.weight[post]
+            found = np.bincount(at, by_post, n * self.n).reshape(n, self.n)
             if skip is not None:
-                found = np.where(ids == skip[open_, None], -2, found)
-            every, named = np.concatenate([best[open_], found], 1), np.concatenate([who[open_], ids], 1)
-            top = np.argsort(-every, axis=1, kind="stable")[:, :k]
-            best[open_], who[open_] = np.take_along_axis(every, top, 1), np.take_along_axis(named, top, 1)
+                found[np.arange(n), skip] = 0
+            least = np.maximum(best[:, -1], 1e-6) - 1e-6
+            for i in range(n):
+                row = found[i]
+                if wave == 0 and len(row) > 4 * k:
+                    least[i] = max(least[i], np.partition(row, -k)[-k] - 1e-6)
+                hit = np.flatnonzero(row >= least[i])
+                hit = hit[row[hit] > 0]
+                if len(hit):
+                    every, named = np.concatenate([best[i], np.round(row[hit], 5)]), np.concatenate([who[i], hit])
+                    top = np.lexsort((self.tie(named), -every))[:k]
+                    best[i], who[i] = every[top], named[top]
         return best, who
 
+    def tie(self, examples: np.ndarray) -> np.ndarray:
+        """What orders examples of equal similarity."""
+        return examples if self.rank is None else self.rank[examples]
+
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing function nearest to (x, y), by pooling adjacent violators."""
@@ -104,98 +140,99 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Vocabulary, idf, example index and calibration."""
-
-    def __init__(self, vocabulary: list[str], rows: list[tuple[int, int, list[int], list[int]]], k: int, block: int):
-        self.k = k
-        self.vocabulary = {t: j for j, t in enumerate([_EVER, *vocabulary])}
-        self.heads = {t[:4] for t in vocabulary}
-        self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float32)
-        df = np.full(len(self.vocabulary), 0.0)
-        for r in rows:
-            df[r[2]] += 1
-        df[0] = len(rows)
-        self.idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
-        vectors = self.dense([(r[2], r[3]) for r in rows])
-        self.index = BlockMaxIndex(vectors, block)
-        raw = np.zeros(len(rows))
-        for s in range(0, len(rows), 512):
-            raw[s : s + 512] = self.votes(*self.index.nearest(vectors[s : s + 512], k, np.arange(s, min(s + 512, len(rows)))))
-        self.knots = isotonic(raw, self.labels) if len(rows) else (np.zeros(1), np.zeros(1))
-
-    def counted(self, text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        heads, known = self.heads, self.vocabulary
-        found: dict[int, int] = {}
-        for word in _WORD.findall((text or "").lower()):
-            if word[:4] in heads:
-                for t in word_terms(word):
-                    j = known.get(t)
-                    if j is not None:
-                        found[j] = found.get(j, 0) + 1
-        return tuple(sorted(found)), tuple(found[j] for j in sorted(found))
-
-    def dense(self, rows: list) -> np.ndarray:
-        out = np.zeros((len(rows), len(self.vocabulary)), np.float32)
-        out[:, 0] = self.idf[0]
-        for i, (at, n) in enumerate(rows):
-            if len(at):
-                out[i, list(at)] = (1 + np.log(np.array(n, np.float32))) * self.idf[list(at)]
-        return out / np.linalg.norm(out, axis=1, keepdims=True)
+    """Vocabulary, weights, example index and calibration."""
+
+    def __init__(self, examples: list[tuple[int, int, str | None]], vocabulary: list[str], df: np.ndarray, n_documents: int, k: int = 15, block: int = 64):
+        """``examples``: identifier, label and text; ``df``: documents with each term of the vocabulary."""
+        rows = [(i, toxic, terms(t), t) for i, toxic, t in examples]
+        self.k, self.vocabulary = k, {t: j for j, t in enumerate(vocabulary)}
+        n, p = len(rows), sum(r[1] for r in rows)
+        a, b = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+        for _, toxic, own, _ in rows:
+            (a if toxic else b)[[self.vocabulary[t] for t in own]] += 1
+        c, d = p - a, (n - p) - b
+        chi = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+        self.phi = np.sqrt(np.maximum(chi - 2 * np.log(max(len(vocabulary), 1)), 0) / max(n, 1))
+        self.term_weight = (np.log((1 + n_documents) / (1 + np.minimum(df, n_documents))) * (BASE + self.phi)).astype(np.float64)
+        # by the most telling term, then by the most frequent one
+        telling = [max((self.vocabulary[t] for t in r[2]), key=lambda j: (self.phi[j], -j), default=-1) for r in rows]
+        telling = [j if j >= 0 and self.phi[j] > 0 else -1 for j in telling]
+        common = [max(r[2], key=lambda t: (r[2][t], t), default="") for r in rows]
+        rows = [rows[i] for i in sorted(range(n), key=lambda i: (telling[i], common[i], rows[i][0]))]
+        self.ids, self.labels = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+        self.share = float(self.labels.mean()) if n else 0.0
+        queries = self.vectors([r[3] for r in rows])
+        self.index = BlockMaxIndex(queries[1], queries[0], queries[2], len(vocabulary), n, block)
+        # of equally similar examples the smaller identifier comes first
+        self.index.rank = np.argsort(np.argsort(self.ids, kind="stable"), kind="stable")
+        raw, some = np.zeros(n), np.zeros(n, bool)
+        for s in range(0, n, 64):
+            part = self.vectors([r[3] for r in rows[s : s + 64]])
+            size = min(64, n - s)
+            similar, who = self.index.nearest(*part, size, k, np.arange(s, s + size))
+            raw[s : s + size], some[s : s + size] = self.votes(similar, who), who[:, 0] >= 0
+        self.knots = isotonic(raw[some], self.labels[some]) if some.any() else (np.zeros(1), np.full(1, self.share))
+
+    def vectors(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (text, term, weight) of the unit vectors of texts."""
+        known = self.vocabulary.get
+        own = [np.array([j for j in map(known, _WORD.findall((t or "").lower())) if j is not None], np.int64) for t in texts]
+        size = len(self.vocabulary)
+        flat, n = np.unique(np.concatenate([*(x + i * size for i, x in enumerate(own)), np.zeros(0, np.int64)]), return_counts=True)
+        which, term = flat // max(size, 1), flat % max(size, 1)
+        weight = (1 + np.log(n)) * self.term_weight[term]
+        length = np.sqrt(np.bincount(which, weight * weight, len(own)))
+        keep = weight > 0
+        return which[keep], term[keep], weight[keep] / length[which[keep]]
 
     def votes(self, similar: np.ndarray, who: np.ndarray) -> np.ndarray:
         weight = np.where(who >= 0, 1 / (1.05 - np.clip(similar, 0, 1)), 0)
         return (weight * self.labels[np.maximum(who, 0)]).sum(1) / np.maximum(weight.sum(1), 1e-9) if len(self.labels) else np.zeros(len(who))
 
-    def score(self, texts: list[str | None], remembered: dict) -> list[tuple[float, list[dict]]]:
-        """Probability and the three nearest examples of each text; equal vectors are searched for once."""
-        keys = [self.counted(t) for t in texts]
-        fresh = [key for key in dict.fromkeys(keys) if key not in remembered]
-        if len(remembered) > 50_000:
-            remembered.clear()
-            fresh = list(dict.fromkeys(keys))
-        for s in range(0, len(fresh), 512):
-            part = fresh[s : s + 512]
-            similar, who = self.index.nearest(self.dense(part), self.k)
-            p = np.clip(np.interp(self.votes(similar, who), *self.knots), 0, 1)
-            for i, key in enumerate(part):
-                remembered[key] = (round(float(p[i]), 6), [{"doc_id": int(self.ids[w]), "similarity": float(v), "toxic": int(self.labels[w])} for v, w in zip(similar[i, :3], who[i, :3], strict=True) if w >= 0])
-        return [remembered[key] for key in keys]
-
-
-def _featured(examples: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                own = list(terms(text))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic] * len(own), pa.int64())], names=["term", "toxic"])
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        """Probability and the three nearest examples of each text."""
+        out = []
+        for s in range(0, len(texts), 64):
+            part = texts[s : s + 64]
+            similar, who = self.index.nearest(*self.vectors(part), len(part), self.k)
+            p = np.where(who[:, 0] >= 0, np.clip(np.interp(self.votes(similar, who), *self.knots), 0, 1), self.share)
+            for i in range(len(part)):
+                near = [{"doc_id": int(self.ids[w]), "similarity": float(v), "toxic": int(self.labels[w])} for v, w in zip(similar[i, :3], who[i, :3], strict=True) if w >= 0]
+                out.append((round(float(p[i]), 6), near))
+        return out
 
-    return examples.mapInArrow(run, "term string, toxic long")
 
+def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+    """Documents that have each term, and the number of all documents."""
+    sent = shipped(docs.sparkSession, pickle.dumps(vocabulary))
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 8192, max_terms: int = 1024, min_df: int = 5, k: int = 15, block: int = 64) -> Model:
-    """A model from documents (doc_id, text) and labels (doc_id, toxic), never from held-out rows."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {t: j for j, t in enumerate(pickle.loads(sent.value))}
+        found, n = np.zeros(len(known), np.int64), 0
+        for batch in batches:
+            for text in python_texts(batch.column("text")):
+                n += 1
+                if text:
+                    found[[known[w] for w in known.keys() & set(_WORD.findall(text.lower()))]] += 1
+        at = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*found[at], n], pa.int64())], names=["term", "n"])
+
+    total = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each term
+    at, n = total["term"].to_numpy(), total["n"].to_numpy()
+    out = np.zeros(len(vocabulary), np.int64)
+    out[at[at >= 0]] = n[at >= 0]
+    return out, int(n[at < 0].sum())
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_examples: int = 4096, k: int = 15, block: int = 64) -> Model:
+    """A model from documents (doc_id, text) and labels (doc_id, toxic), never from held-out labels."""
     chosen = labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # at most max_examples rows of two numbers: safe to send to all tasks
     examples = saved(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-examples")
-    n, p = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    a, b = F.col("hits"), F.col("df") - F.col("hits")
-    c, d = F.lit(float(p)) - a, F.lit(float(n - p)) - b
-    chi = (a * d - b * c) ** 2 / F.greatest(F.lit(1.0), (a + b) * (c + d) * (a + c) * (b + d)) * n
-    best = _featured(examples).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("toxic").cast("double").alias("hits")).where(F.col("df") >= min_df).withColumn("chi", chi).where("chi > 15")
-    vocabulary = [r.term for r in best.orderBy(F.desc("chi"), "term").limit(max_terms).select("term").collect()]
-    known = {t: j for j, t in enumerate(vocabulary, 1)}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, n_at = [], []
-            for text in batch.column("text").to_pylist():
-                own = sorted((known[t], m) for t, m in terms(text).items() if t in known)
-                at.append([x[0] for x in own])
-                n_at.append([x[1] for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(n_at, pa.list_(pa.int32()))], names=["doc_id", "toxic", "at", "n"])
 
-    rows = examples.mapInArrow(count, "doc_id long, toxic long, at array<int>, n array<int>").collect()
-    return Model(vocabulary, sorted((r.doc_id, r.toxic, r.at, r.n) for r in rows), k, block)
+    rows = sorted((r.doc_id, r.toxic, r.text) for r in examples.select("doc_id", "toxic", F.coalesce("text", F.lit("")).alias("text")).toLocalIterator())  # at most max_examples texts
+    vocabulary = sorted({t for r in rows for t in terms(r[2])})
+    return Model(rows, vocabulary, *frequencies(docs, vocabulary), k, block)
 
 
 EVIDENCE = T.ArrayType(T.StructType().add("doc_id", "long").add("similarity", "double").add("toxic", "integer"))
@@ -210,11 +247,10 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(sent.value)
-        remembered: dict = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 part = batch.slice(start, 1024)
-                found = own.score(part.column(text).to_pylist(), remembered)
+                found = own.score(python_texts(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], _EVIDENCE)], names=[*part.schema.names, out, evidence])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType()), T.StructField(evidence, EVIDENCE)]))

@@ -2,7 +2,9 @@
 
 import gzip
 import hashlib
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -104,18 +106,87 @@ def test_licences_against_rules(spark):
 
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
-    v = (rng.random((300, 20)) * (rng.random((300, 20)) < 0.2)).astype(np.float32)
-    v[:, 0] += 0.1
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    index = toxicity.BlockMaxIndex(v, block=16)
-    got, who = index.nearest(v[:50], 7)
-    full = np.round(v[:50] @ v.T, 5)
-    assert np.allclose(got, -np.sort(-full, axis=1)[:, :7], atol=2e-5)
-    assert np.allclose(np.take_along_axis(full, who, 1), got, atol=2e-5)
+    v = rng.random((1000, 40)) * (rng.random((1000, 40)) < 0.1) * (np.arange(40) % 7 + 0.2)
+    v[::50] = v[0]  # ties
+    v[3] = 0
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    example, term = np.nonzero(v)
+    index = toxicity.BlockMaxIndex(term, example, v[example, term], 40, 1000, block=16)
+    q = v[:60]
+    query, term = np.nonzero(q)
+    got, who = index.nearest(query, term, q[query, term], 60, 7)
+    full = np.round(q @ v.T, 5)
+    for i in range(60):
+        want = sorted((-s, j) for j, s in enumerate(full[i]) if s > 0)[:7]
+        assert np.allclose(got[i, : len(want)], [-s for s, _ in want], atol=2e-5) and (who[i, len(want) :] == -1).all()
+        assert np.allclose(full[i, who[i, : len(want)]], got[i, : len(want)], atol=2e-5)
+    assert index.read < index.all
     x, y = toxicity.isotonic(np.array([0, 1, 1, 2, 3.0]), np.array([0, 1, 0, 0, 1.0]))
     assert (np.diff(y) >= 0).all() and (np.diff(x) >= 0).all()
 
 
+def test_toxicity_equals_full_scan(spark):
+    """Evidence and scores of the query against plain TF-IDF cosines with every example, worked out with dictionaries."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in common.documents(spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    learnt = sorted(i for i in labels if i in docs and not common.held_out_id(i))
+    own = {i: toxicity.terms(t) for i, t in docs.items()}
+    vocabulary = {t for i in learnt for t in own[i]}
+    weight = {}
+    n, p = len(learnt), sum(labels[i] for i in learnt)
+    counts, hits, seen = Counter(t for i in docs for t in own[i]), Counter(t for i in learnt if labels[i] for t in own[i]), Counter(t for i in learnt for t in own[i])
+    for t in vocabulary:
+        a, b = hits[t], seen[t] - hits[t]
+        c, d = p - a, n - p - b
+        chi = n * (a * d - b * c) ** 2 / max((a + b) * (c + d) * (a + c) * (b + d), 1)
+        phi = math.sqrt(max(chi - 2 * math.log(len(vocabulary)), 0) / n)
+        weight[t] = math.log((1 + len(docs)) / (1 + counts[t])) * (toxicity.BASE + phi)
+
+    def vector(i):
+        v = {t: (1 + math.log(m)) * weight[t] for t, m in own[i].items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / size for t, x in v.items() if x > 0}
+
+    examples = {i: vector(i) for i in learnt}
+    out = {r.doc_id: r for r in toxicity.score(common.documents(spark, sf).select("doc_id", "text"), toxicity.fit(common.documents(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet"))).collect()}
+    votes, cosines = {}, {}
+    for i in docs:
+        v = vector(i)
+        cosines[i] = sorted(((-sum(x * e[t] for t, x in v.items() if t in e), j) for j, e in examples.items()))
+        near = [(s, j) for s, j in ((-s, j) for s, j in cosines[i][:3]) if s > 0]
+        got = out[i].evidence
+        assert np.allclose([e.similarity for e in got], [s for s, _ in near], atol=2e-5)
+        w = [(1 / (1.05 - min(-s, 1)), labels[j]) for s, j in cosines[i][:15] if s < 0]
+        votes[i] = sum(x * y for x, y in w) / sum(x for x, _ in w) if w else None
+    # the score rises with the votes and is a probability
+    pairs = sorted((v, out[i].score) for i, v in votes.items() if v is not None)
+    assert all(x[1] <= y[1] + 1e-6 for x, y in zip(pairs, pairs[1:], strict=False) if y[0] - x[0] > 1e-3)
+    assert all(0 <= r.score <= 1 for r in out.values())
+    learnt_scores = [(out[i].score, labels[i]) for i in learnt]
+    assert np.mean([(s >= 0.5) == y for s, y in learnt_scores]) >= 0.95
+
+
+def test_language_is_kernel_ridge():
+    """With every example a landmark, margins are those of kernel ridge regression, worked out with sets."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(a) for _ in range(40)) for a in ("abcdef ", "cdefgh ", "жзиклм ") for _ in range(12)]
+    langs = ["a"] * 12 + ["b"] * 12 + ["c"] * 12
+    sets = [set(langid.grams(t).tolist()) for t in texts]
+    model = langid.Model([np.array(sorted(s), np.int64) for s in sets], langs, landmarks=36, ridge=0.5)
+    k = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    y = np.array([[1.0 if c == x else -1.0 for c in "abc"] for x in langs])
+    alpha = np.linalg.solve(k + 0.5 * np.eye(36), y)
+    for t in ["abcabc", "hhgg cd", "зик", "xyz qq", "a" * 5000, *texts[::5]]:
+        s = set(langid.grams(t).tolist())
+        want = np.array([len(s & b) / math.sqrt(len(s) * len(b)) for b in sets]) @ alpha
+        got, own, size = model.margins(t)
+        assert np.allclose(got, want, atol=1e-6) and size == len(s)
+    (lang, score, known), = model.predict(["今天天气"])
+    assert known < model.cut and score < 0.2
+    assert langid.grams("12 !") is None and len(langid._Slots(np.arange(10_000, dtype=np.int64) << 21)(np.array([5 << 21, 7, 5 << 21, -1]))[0]) == 1
+
+
 def test_toxicity_and_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
