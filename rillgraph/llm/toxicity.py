@@ -44,6 +44,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: The relevance of a term that tells nothing.
 BASE = 0.02
 
+#: Terms that one example in so many has are multiplied block by block as dense rows, the others by their postings.
+DENSE_PART = 16
+
 #: Blocks with the largest bounds, which are read first; of the others those are that can still matter.
 FIRST = 8
 
@@ -74,6 +77,10 @@ class BlockMaxIndex:
         self.cell_block = (cell[first] % max(1, self.n_blocks)).astype(np.int32)
         self.cell_max = (np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)).astype(np.float32)
         self.term_start = np.searchsorted(cell[first] // max(1, self.n_blocks), np.arange(n_terms + 1))
+        held = np.bincount(term, minlength=n_terms)
+        self.dense_row = np.full(n_terms, -1, np.int32)
+        self.dense_row[held * DENSE_PART >= max(n_examples, 1)] = np.arange(int((held * DENSE_PART >= max(n_examples, 1)).sum()))
+        self._dense: tuple[np.ndarray, np.ndarray] | None = None
         self.read = self.all = 0  # blocks read, and blocks that had any of the terms
         self.rank: np.ndarray | None = None
 
@@ -82,21 +89,26 @@ class BlockMaxIndex:
         best, who = np.full((n, k), -1.0), np.full((n, k), -1, np.int64)
         if not n or not self.n:
             return best, who
+        dense, dense_max = self.dense()
+        row = self.dense_row[term]
+        often = np.zeros((n, len(dense)), np.float32)
+        often[query[row >= 0], row[row >= 0]] = weight[row >= 0]
+        query, term, weight = query[row < 0], term[row < 0], weight[row < 0]
         count = self.term_start[term + 1] - self.term_start[term]
         cells = _ranges(self.term_start[term], count)
         of, by = np.repeat(query.astype(np.int32), count), np.repeat(weight.astype(np.float32), count)
         pair = of * np.int32(self.n_blocks) + self.cell_block[cells]
-        bound = np.bincount(pair, by * self.cell_max[cells], n * self.n_blocks).reshape(n, self.n_blocks)
+        bound = np.bincount(pair, by * self.cell_max[cells], n * self.n_blocks).reshape(n, self.n_blocks) + often @ dense_max
         first = np.zeros((n, self.n_blocks), bool)
         np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
         first &= bound > 0
         self.all += int((bound > 0).sum())
         for wave in (0, 1):
             wanted = first if wave == 0 else ~first & (bound > 0) & (bound + 2e-5 >= best[:, -1:])
-            use = np.flatnonzero(wanted.ravel()[pair])
-            if not len(use):
+            if not wanted.any():
                 continue
             self.read += int(wanted.sum())
+            use = np.flatnonzero(wanted.ravel()[pair])
             c = cells[use]
             sizes = self.cell_size[c]
             post = _ranges(self.cell_start[c], sizes)
@@ -104,7 +116,10 @@ class BlockMaxIndex:
             at += self.example[post]
             by_post = np.repeat(by[use], sizes)
             by_post *= self.weight[post]
-            found = np.bincount(at, by_post, n * self.n).reshape(n, self.n)
+            found = np.bincount(at, by_post, n * self.n).reshape(n, self.n).astype(np.float64)
+            for b in np.flatnonzero(wanted.any(0)):
+                own = np.flatnonzero(wanted[:, b])
+                found[own, b * self.block : (b + 1) * self.block] += often[own] @ dense[:, b * self.block : (b + 1) * self.block]
             if skip is not None:
                 found[np.arange(n), skip] = 0
             least = np.maximum(best[:, -1], 1e-6) - 1e-6
@@ -120,6 +135,20 @@ class BlockMaxIndex:
                     best[i], who[i] = every[top], named[top]
         return best, who
 
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of frequent terms in all examples, and their maxima in each block."""
+        if self._dense is None:
+            terms_ = np.flatnonzero(self.dense_row >= 0)
+            out = np.zeros((len(terms_), self.n_blocks * self.block), np.float32)
+            for i, t in enumerate(terms_):
+                lo, hi = self.cell_start[self.term_start[t]], self.cell_start[self.term_start[t + 1] - 1] + self.cell_size[self.term_start[t + 1] - 1]
+                out[i, self.example[lo:hi]] = self.weight[lo:hi]
+            self._dense = out[:, : self.n], out.reshape(len(terms_), self.n_blocks, self.block).max(2)
+        return self._dense
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_dense": None}
+
     def tie(self, examples: np.ndarray) -> np.ndarray:
         """What orders examples of equal similarity."""
         return examples if self.rank is None else self.rank[examples]
