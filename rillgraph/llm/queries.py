@@ -56,9 +56,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    sized = docs.select("doc_id", packing.word_count(F.col("text")).alias("words"))
-    return packing.pack(sized, F.col("words")).drop("words")
+    """A row for each document: doc_id, n_tokens, bucket, bucket_length, shard, batch and padding."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    counted = packing.with_token_count(common.documents(spark, sf_dir).select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text")
+    return packing.pack(common.saved(counted, "token-counts"), F.col("n_tokens"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Near-duplicates by SimHash and meet-in-the-middle ball hashing.
 
+``groups`` links fingerprints within a radius, ``near_groups`` texts whose word shingles are alike enough.
+
 A fingerprint has 64 bits; a bit is 1 if it is set in more than half of the hashes (XXH64, seed 42) of the text's word
 shingles. Two fingerprints within radius r share a point within r/2 of both, so every distinct fingerprint sends itself
 and all its variants within half the radius, and equal variants meet. Everything that meets at a variant is within the
@@ -7,9 +9,19 @@ radius of everything else there, so an edge from the smallest fingerprint to eac
 variant has at most as many visitors as a ball has points, 65 for radius 2, however many documents there are. The edges
 are deduplicated, verified by their distance and joined to components.
 
+Alike texts. Texts of which a fifth of the five-word shingles differ are ten and more bits apart in 64, too far for the
+ball of a whole fingerprint. So ``near_groups`` takes fingerprints of distinct pairs of words, which edits change less,
+several of them by hashes of their own, and cuts them into parts of 32 bits. Texts that are within the radius in any
+part meet at a variant of that part. There a text is paired with the first and the three before it, those whose own
+part is the variant first, so pairs grow with the rows; variants that a sample shows to be frequent are dealt over
+salted sub-groups whose heads are paired likewise. Every pair is verified by the Jaccard similarity of the whole texts'
+shingles, so nothing is linked wrongly: each text's nearest partners first, then those pairs that would join two groups; the README has the recall. By chance, a variant has N * 33 / 2**32 visitors from
+N distinct texts, under one up to 10**8; larger tables want more parts of more bits (``prints``, ``part_bits``).
+
 Defined cases. Null text counts as empty. No word: fingerprint 0, linked like any other; fewer words than a shingle: the
 whole sequence is the only one. Texts are read whole. A null identifier never names a component unless all its
-members' are null. Rows that share an identifier are fingerprinted each. Extra columns are dropped by ``groups`` and kept
+members' are null. Rows that share an identifier are fingerprinted each; rows of equal text are one text. Invalid UTF-8 is
+read with replacement characters. Extra columns are dropped by ``groups`` and kept
 by ``fingerprints``; taken names raise ``ValueError``. No rows: no rows.
 """
 
@@ -20,12 +32,12 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import saved
+from .common import ascii_lower, free_name, python_texts, saved
 from .components import components
 
 
@@ -56,7 +68,7 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "simhash", words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = pa.array([fingerprint(x.as_py(), words) for x in batch.column(text)], pa.int64())
+            values = pa.array([fingerprint(x, words) for x in python_texts(batch.column(text))], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), values], names=[*(f.name for f in kept), out])
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.LongType())]))
@@ -88,3 +100,143 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
     smallest = saved(labelled.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     of = saved(labelled.join(smallest, "component").select("simhash", "component_id"), "component-of")
     return docs.join(of, "simhash").select("doc_id", "simhash", "component_id")
+
+
+#: Texts that frequent variants are looked for in, and how many of them make a variant frequent.
+SAMPLED, HOT_SAMPLED = 65_536, 16
+
+#: Rounds before all pairs that are left are verified. Groups grow fast, so that few pairs are.
+ROUNDS = 3
+
+
+def pair_prints(text: str | None, prints: int) -> list[int]:
+    """``prints`` fingerprints of a text's distinct pairs of neighbouring words, as signed 64-bit numbers."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    if not own:
+        return [0] * prints
+    pairs = {xxh64_intdigest(a + b" " + b, 42) for a, b in zip(own, own[1:], strict=False)} or {xxh64_intdigest(own[0], 42)}
+    base = np.fromiter(pairs, np.uint64, len(pairs))
+    out = []
+    for k in range(prints):
+        h = base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # splitmix: another hash for each print
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingles(text: str | None, words: int) -> set[bytes]:
+    """The distinct word shingles of a text; the whole sequence if it is shorter."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
+
+
+def _text_of(text: str) -> Column:
+    return F.xxhash64(ascii_lower(F.col(text)))
+
+
+def _variants(prints: DataFrame, part_bits: int) -> DataFrame:
+    """``node, variant, own``: every part of a text's fingerprints and the part's changes by one bit."""
+    n = len([c for c in prints.columns if c.startswith("p")])
+    parts = []
+    for i in range(n):
+        for at in range(0, 64 - part_bits + 1, part_bits):
+            parts.append(F.struct(F.lit(len(parts)).alias("part"), F.shiftrightunsigned(f"p{i}", at).bitwiseAND(F.lit((1 << part_bits) - 1).cast("long")).alias("bits")))
+    masks_ = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(part_bits)])
+    by_part = prints.select("node", F.inline(F.array(*parts)))
+    every = by_part.select("node", "part", "bits", F.explode(masks_).alias("mask"))
+    return every.select("node", F.xxhash64("part", F.col("bits").bitwiseXOR(F.col("mask"))).alias("variant"), (F.col("mask") == 0).alias("own"))
+
+
+def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity: float = 0.8, prints: int = 3, part_bits: int = 32) -> DataFrame:
+    """``a, b``: hashes of texts (A-Z lower-cased) that are alike, as many pairs as the groups need."""
+    spark = df.sparkSession
+    names = [f"p{i}" for i in range(prints)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pair_prints(t, prints) for t in python_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(prints))], names=["node", *names])
+
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ["node", *names]])
+    known = saved(df.select(_text_of(text).alias("node"), F.col(text).alias("text")).mapInArrow(run, schema).groupBy("node").agg(*[F.min(n).alias(n) for n in names]), "prints")
+    part = max(1, known.count() // SAMPLED)
+    sample = known.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
+    # at most SAMPLED * variants of a text / HOT_SAMPLED rows, whatever the input
+    hot = saved(_variants(sample, part_bits).groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLED).select("variant", F.lit(True).alias("hot")), "hot-variants")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(16 * int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")).otherwise(0)
+    met = _variants(known, part_bits).join(F.broadcast(hot) if hot.count() <= 2_000_000 else hot, "variant", "left").withColumn("salt", salt)
+
+    def beside(block: Window) -> list[Column]:
+        return [F.first("node").over(block).alias("first"), *[F.lag("node", i).over(block).alias(f"l{i}") for i in (1, 2, 3)]]
+
+    order = [F.desc("own"), F.col("node")]
+    met = met.select("variant", "hot", "own", "node", *beside(Window.partitionBy("variant", "salt").orderBy(*order)))
+    met = saved(met.where("l1 is not null or hot"), "variants-met")
+    heads = met.where("hot and l1 is null").select("variant", "own", "node").select("node", *beside(Window.partitionBy("variant").orderBy(*order)))
+    sides = F.array("first", "l1", "l2", "l3").alias("x")
+    both = met.select("node", sides).unionByName(heads.select("node", sides)).select("node", F.explode("x").alias("x")).where("x <> node")
+    edges = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    # unlike texts that met by chance differ in nearly half of all bits
+    of = lambda side: known.select(F.col("node").alias(side), *[F.col(n).alias(f"{side}{n}") for n in names])
+    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
+    edges = saved(edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= 20 * prints), "near-candidates")
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = df.select(_text_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "node", "left_semi")
+    texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[str | None, set[bytes]] = (None, set())
+        for batch in batches:
+            alike = []
+            for x, y in zip(python_texts(batch.column("text_a")), python_texts(batch.column("text_b")), strict=True):
+                if x != last[0]:
+                    last = (x, shingles(x, words))
+                other = shingles(y, words)
+                common = len(last[1] & other)
+                alike.append(common >= similarity * (len(last[1]) + len(other) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sided = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+        return saved(sided.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "near-verified")
+
+    # rounds that verify each text's nearest partner outside its group so far, then all pairs that still would join two
+    found, left = None, edges
+    for _ in range(ROUNDS):
+        either = left.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))), "apart")
+        nearest = either.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
+        nearest = saved(nearest, "near-next")
+        new = verified(nearest)
+        found = new if found is None else found.unionByName(new)
+        group = components(found)
+        of_side = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
+        left = left.join(nearest, ["a", "b"], "left_anti").join(of_side("a"), "a", "left").join(of_side("b"), "b", "left")
+        left = saved(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "apart"), "near-left")
+        if left.isEmpty():
+            return found
+    return found.unionByName(verified(left.select("a", "b")))
+
+
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``node, component, keep``: for each text (its hash) that is like another one its group, and whether its document stays.
+
+    The text of the group's largest identifier stays, nulls being the smallest, and of equal ones that of the largest hash.
+    """
+    found = components(saved(near_pairs(df, text, **options), "near-pairs"))
+    own = df.select(_text_of(text).alias("node"), F.col(doc_id).alias("id")).join(found.select("node"), "node", "left_semi").groupBy("node").agg(F.max("id").alias("id"))
+    place = F.struct(F.col("id").isNotNull().alias("named"), "id", "node")
+    placed = saved(found.join(own, "node").select("node", "component", place.alias("place")), "near-nodes")
+    best = placed.groupBy("component").agg(F.max("place").alias("best"))
+    return placed.join(best, "component").select("node", "component", F.col("place").eqNullSafe(F.col("best")).alias("keep"))
+
+
+def without_near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` whose text isn't like that of another row that stays."""
+    gone = saved(near_groups(df, doc_id, text, **options).where("not keep").select("node"), "near-gone")
+    node = free_name(df, "node")
+    return df.withColumn(node, _text_of(text)).join(gone.withColumnRenamed("node", node), node, "left_anti").select(*df.columns)

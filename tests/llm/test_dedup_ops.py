@@ -13,10 +13,12 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rillgraph.llm import common, exact_dedup, fingerprints, line_dedup, packing, queries, simhash
+import public_tokenizers
+from rillgraph.llm import bpe, common, exact_dedup, fingerprints, line_dedup, packing, queries, simhash
 from rillgraph.llm.components import components
 
 SF = "/root/testdata/sf0.001"
+TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ROWS = [(1, "Aé b", "x"), (2, "aé B", None), (3, None, "y"), (4, "", "y"), (None, "aÉ b", "z"), (None, "aÉ b", "z"), (2, "aé B", None), (5, "word " * 30_000, "q")]
 
 
@@ -139,17 +141,104 @@ def test_boundaries_are_optimal():
 
 
 def test_packing(spark):
-    out = queries.op9_packing(spark, "/root/testdata/sf0.01").collect()
-    docs = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", d.text)) for d in common.documents(spark, "/root/testdata/sf0.01").collect()}
+    sf = "/root/testdata/sf0.01"
+    out = queries.op9_packing(spark, sf).collect()
+    with open(TOKENIZER, "rb") as f:
+        own = bpe.ByteBPE(bpe.read_ranks(f.read()), public_tokenizers.PATTERN)
+    docs = {d.doc_id: len(own.encode(d.text)) for d in common.documents(spark, sf).collect()}
     assert {r.doc_id: r.n_tokens for r in out} == docs
     batches = {}
     for r in out:
         assert r.padding == r.bucket_length - r.n_tokens >= 0
         batches.setdefault((r.bucket, r.shard, r.batch), []).append(r)
     assert all(len(b) * b[0].bucket_length <= 8192 or len(b) == 1 for b in batches.values())
-    small = packing.pack(odd(spark), packing.word_count(F.col("text")), token_budget=8, shard_tokens=16, max_lengths=3)
-    assert small.count() == len(ROWS) and small.agg(F.max("n_tokens")).first()[0] == 30_000
-    assert packing.pack(odd(spark).limit(0), packing.word_count(F.col("text"))).count() == 0
+    # the total padding is the least that 16 buckets can have: plain dynamic programming over the exact lengths
+    x, n = np.unique([v for v in docs.values() if v <= 8192], return_counts=True)
+    rows, tokens = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], (x * n).cumsum()])
+    best = np.concatenate([[0], np.full(len(x), np.inf)])
+    for _ in range(16):
+        best = np.array([0, *(min(best[j], *(best[:j] + (rows[j] - rows[:j]) * x[j - 1] - (tokens[j] - tokens[:j]))) for j in range(1, len(x) + 1))])
+    assert sum(r.padding for r in out) == best[-1]
+
+
+def test_packing_odd_rows(spark):
+    words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), " "), ""))
+    small = packing.pack(odd(spark), words, token_budget=8, shard_tokens=16)
+    got = small.collect()
+    assert len(got) == len(ROWS) and max(r.n_tokens for r in got) == 30_000
+    assert {(r.bucket_length, r.padding) for r in got if r.n_tokens > 8} == {(30_000, 0)}
+    assert packing.pack(odd(spark).limit(0), words).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(odd(spark).withColumn("Shard", F.lit(1)), words)
+    encoded = common.saved(bpe.encode(odd(spark), TOKENIZER, public_tokenizers.PATTERN), "t")
+    packed = packing.pack(encoded, F.size("ids"), token_budget=64, buckets=2)
+    rows = packing.token_batches(packed).collect()
+    ids = {d.doc_id: list(d.ids) for d in encoded.collect()}
+    assert sum(len(b.doc_ids) for b in rows) == len(ROWS)
+    for b in rows:
+        assert len({len(x) for x in b.input_ids}) == 1 and (len(b.doc_ids) == 1 or sum(map(len, b.input_ids)) <= 64)
+        assert all([y for y in x if y >= 0] == ids[i] for i, x in zip(b.doc_ids, b.input_ids, strict=True) if i is not None)
+
+
+def alike(a, b):
+    a, b = simhash.shingles(a, 5), simhash.shingles(b, 5)
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_near_groups(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioubdgklmnprstvz") for _ in range(rng.randrange(2, 9)))
+    chosen = lambda w, n: set(rng.sample(range(len(w)), n))
+    edited = lambda w, n: (lambda at: [word() if i in at else x for i, x in enumerate(w)])(chosen(w, n))
+    shortened = lambda w, n: (lambda at: [x for i, x in enumerate(w) if i not in at])(chosen(w, n))
+    common_words = [word() for _ in range(60)]
+    text = lambda n: [rng.choice(common_words) if rng.random() < 0.4 else word() for _ in range(n)]
+    rows = []
+    for _ in range(150):
+        base = text(rng.randrange(80, 400))
+        rows.append(base)
+        for _ in range(rng.randrange(4)):
+            rows.append((shortened if rng.random() < 0.3 else edited)(base, max(1, len(base) // 60)))
+    large = text(120)
+    rows += [edited(large, 1) for _ in range(1500)]
+    texts = list(dict.fromkeys(" ".join(w) for w in rows))
+    df = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, node long").repartition(4)
+    pairs = [(r.a, r.b) for r in simhash.near_pairs(df).collect()]
+    number = {r.h: r.doc_id for r in df.select("doc_id", F.xxhash64(F.lower("text")).alias("h")).collect()}
+    assert len(pairs) <= 4 * len(texts) and all(alike(texts[number[a]], texts[number[b]]) for a, b in pairs)
+    small = texts.index(" ".join(rows[-1500]))
+    want = [(i, j) for i, j in itertools.combinations(range(small), 2) if abs(i - j) < 5 and alike(texts[i], texts[j])]
+    root = union_find(len(texts), [(number[a], number[b]) for a, b in pairs])
+    assert len(want) > 150 and sum(root[i] == root[j] for i, j in want) >= 0.97 * len(want)
+    assert sum(root[i] == root[small] for i in range(small, len(texts))) >= 0.995 * (len(texts) - small)
+    kept = simhash.without_near_copies(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {max(i for i, r in enumerate(root) if r == c) for c in set(root)}
+    odd_rows = odd(spark)
+    assert simhash.without_near_copies(odd_rows).count() == len(ROWS) and simhash.without_near_copies(odd_rows.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, " ".join(large)), (3, texts[-1]), (None, None)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.without_near_copies(nulls).orderBy("doc_id").collect()] == [None, 3]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_groups_against_all_pairs(spark, sf):
+    docs = {r.doc_id: r.text for r in common.documents(spark, f"/root/testdata/{sf}").collect()}
+    first = {}
+    for i, t in sorted(docs.items()):
+        first.setdefault(t.lower(), i)
+    sets = {i: simhash.shingles(t, 5) for t, i in first.items()}
+    holders = {}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    met = {(a, b) for own in holders.values() if len(own) < 200 for a, b in itertools.combinations(own, 2)}
+    want = {(a, b) for a, b in met if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame([(i, docs[i]) for i in sets], "doc_id long, text string")
+    number = {r.h: r.doc_id for r in df.select("doc_id", F.xxhash64(common.ascii_lower(F.col("text"))).alias("h")).collect()}
+    got = {tuple(sorted((number[r.a], number[r.b]))) for r in simhash.near_pairs(df).collect()}
+    ids = sorted(sets)
+    place = {i: k for k, i in enumerate(ids)}
+    root = union_find(len(ids), [(place[a], place[b]) for a, b in got])
+    assert got <= want and sum(root[place[a]] == root[place[b]] for a, b in want) >= 0.9 * len(want), (len(got), len(want))
 
 
 def normal(line):
@@ -256,8 +345,13 @@ def test_pipeline(spark):
             fold = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts]
             assert len(set(fold)) == len(fold)
         if name == "near":
-            v = [plain_simhash(r.text) for r in kept.select("text").collect()]
-            assert all((a ^ b).bit_count() > 2 for a, b in itertools.combinations(v, 2))
+            sets = [simhash.shingles(r.text, 5) for r in kept.select("text").collect()]
+            holders = {}
+            for i, x in enumerate(sets):
+                for y in x:
+                    holders.setdefault(y, []).append(i)
+            met = {p for own in holders.values() if len(own) < 100 for p in itertools.combinations(own, 2)}
+            assert sum(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in met) <= 1
     assert seen == sorted(seen, reverse=True) and seen[-1] == seen[-2] > 0
     toxic = spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 1")
     # some toxic words of this small table stand in too few labelled documents to be learnt
@@ -268,6 +362,12 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, sf).count() == seen[-1]
     odd_rows = docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0)], docs.schema))
     assert corpus_pipeline.identify_language(spark, odd_rows, sf).where("doc_id is null or doc_id = 1000000000").count() == 0
+    foreign = ["Сегодня хорошая погода и мы идем гулять в парк", "今天天气很好我们去公园散步", "".join(random.Random(2).choice("qwxzjkvy ") for _ in range(400))]
+    strange = docs.unionByName(spark.createDataFrame([(10**9 + i, t, None, "s", 0) for i, t in enumerate(foreign)], docs.schema))
+    passed = corpus_pipeline.identify_language(spark, strange, sf)
+    assert passed.where("doc_id >= 1000000000").count() == 0 and passed.count() >= 0.99 * docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
 
 
 def test_line_distance(spark):
