@@ -5,7 +5,8 @@ rank, as the position of its left token. A two-level bitmap marks the buckets th
 gives the next rank in constant time; entries whose pair has changed meanwhile are recognised as stale and skipped. One
 merge costs O(1) bitmap steps plus O(log bucket), whatever the length of the pre-token.
 
-Null texts count as empty and give no ids. A text is always encoded whole. Extra columns pass through ``encode`` and
+Null texts count as empty and give no ids. A text is always encoded whole; invalid UTF-8 is read with
+replacement characters. Extra columns pass through ``encode`` and
 ``decode`` unchanged; if the output name is already taken, the operator raises ``ValueError``.
 """
 
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import shipped
+from .common import python_texts, shipped
 
 #: Words whose ids a worker remembers; beyond it, the memory is emptied and filled again.
 REMEMBERED = 600_000
@@ -173,7 +174,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     """``df`` with the ids of each whole text as ``array<int>``."""
 
     def work(bpe: ByteBPE, batch: pa.RecordBatch) -> dict:
-        return {out: pa.array([bpe.encode(t) for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))}
+        return {out: pa.array([bpe.encode(t) for t in python_texts(batch.column(text))], pa.list_(pa.int32()))}
 
     return _mapped(df, path, pattern, T.StructType().add(out, T.ArrayType(T.IntegerType())), work)
 
@@ -192,7 +193,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 
     def work(bpe: ByteBPE, batch: pa.RecordBatch) -> dict:
         counts, of_ids, of_bytes = [], [], []
-        for t in batch.column(text).to_pylist():
+        for t in python_texts(batch.column(text)):
             ids = bpe.encode(t)
             counts.append(len(ids))
             of_ids.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())

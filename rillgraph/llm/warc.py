@@ -13,7 +13,9 @@ HTTP header is taken off and the chunked framing is decoded. Revisits take the l
 Defined cases. Null payload: empty. Null id: a response of its own that reads back with a null id and is never referred
 to. Rows that share id and payload are written and read back as often as they occur; with another payload they are
 records of their own. Line breaks in a URI are percent-encoded, a null URI leaves the header out. A record that is cut
-short, lacks a segment or fails its length has its fault named in ``problem`` and null length and digest. Extra columns
+short, lacks a segment, fails its length or states a length that isn't a number has its fault named in ``problem`` and
+null length and digest; so has the end of a file that can't be decompressed. Files named ``*.txt*`` and ``*.warc*`` are
+read. Extra columns
 of the input are ignored. No rows: an empty archive, which reads as an empty table.
 """
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -90,13 +93,19 @@ def assigned(pages: DataFrame, page: str, uri: str, payload: str, min_revisit_by
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(page).cast("long").alias("page"), F.col(uri).alias("uri"), body.alias("payload"), F.sha2(body.cast("binary"), 256).alias("digest"))
     first = rows.where(F.octet_length("payload") >= min_revisit_bytes).groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    known = rows.join(first, "digest", "left")
+    # short payloads have no partner, and a key of their own keeps equal ones from meeting in one task
+    key = F.when(F.octet_length("payload") >= min_revisit_bytes, F.col("digest")).otherwise(F.concat_ws(":", F.lit("short"), "page"))
+    known = rows.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
     refers = F.when(F.col("page") > F.col("first"), record_name(F.col("first"), F.col("digest")))
     return known.select(record_name(F.col("page"), F.col("digest")).alias("name"), "uri", "payload", "digest", refers.alias("refers_to"))
 
 
-def write_archive(pages: DataFrame, path: str, page: str = "page_id", uri: str = "url", payload: str = "html", *, min_revisit_bytes: int = 100, segment_chars: int = 65_536, chunk_chars: int = 8_192, records_per_file: int = 4_000) -> None:
-    """Write the pages as gzip-compressed WARC files below ``path``, at most ``records_per_file`` records a file."""
+def write_archive(pages: DataFrame, path: str, page: str = "page_id", uri: str = "url", payload: str = "html", *, min_revisit_bytes: int = 100, segment_chars: int = 65_536, chunk_chars: int = 8_192, records_per_file: int = 2_000) -> None:
+    """Write the pages as gzip-compressed WARC files below ``path``.
+
+    A file has at most ``records_per_file`` records of at most 4 * ``segment_chars`` bytes and a header, 512 MB before
+    compression, so a reader's memory is bounded by bytes too.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +121,14 @@ def write_archive(pages: DataFrame, path: str, page: str = "page_id", uri: str =
 
 
 def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
-    """Header fields (names in lower case), block and fault of every record of one file."""
+    """Header fields (names in lower case), block and fault of every record of one file; a broken file ends with a fault."""
+    try:
+        yield from _parsed(stream)
+    except (EOFError, OSError, zlib.error) as e:
+        yield {}, b"", f"the file is broken: {e}"
+
+
+def _parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
     while True:
         line = stream.readline()
         if not line:
@@ -126,7 +142,11 @@ def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes, s
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", "0"))
+        stated = fields.get("content-length", "")
+        if not (stated.isascii() and stated.isdigit()):
+            yield fields, b"", f"content length {stated!r} isn't a number"
+            return  # where the next record starts isn't known
+        length = int(stated)
         block = stream.read(length)
         yield fields, block, None if len(block) == length else "the record is cut short"
 
@@ -138,7 +158,10 @@ def unframed(body: bytes) -> bytes:
         line_end = body.find(b"\r\n", at)
         if line_end < 0:
             raise ValueError("no chunk size")
-        size = int(body[at:line_end].split(b";")[0], 16)
+        digits = body[at:line_end].split(b";")[0].strip()
+        if not digits or digits.strip(b"0123456789abcdefABCDEF"):
+            raise ValueError("a chunk size isn't hexadecimal")
+        size = int(digits, 16)
         at = line_end + 2
         if size == 0:
             return b"".join(out)
@@ -177,8 +200,11 @@ def read_archive(spark: SparkSession, path: str, keep, *, with_payload: bool = T
     schema = [f.name for f in _PARSED]
 
     def row(fields: dict[str, str], block: bytes, fault: str | None) -> tuple:
+        whole = lambda x: int(x) if x is not None and x.isascii() and x.isdigit() and len(x) < 10 else None
         number = fields.get("warc-segment-number")
         segment = number is not None
+        if segment and whole(number) is None:
+            fault = fault or f"segment number {number!r} isn't a number"
         kind = fields.get("warc-type", "")
         data = None
         if fault is None and not segment and kind != "revisit":
@@ -186,8 +212,8 @@ def read_archive(spark: SparkSession, path: str, keep, *, with_payload: bool = T
         digest = fields.get("warc-payload-digest")
         return (
             _bare(fields.get("warc-record-id")), kind, fields.get("warc-target-uri"), _bare(fields.get("warc-refers-to")), digest and digest.partition(":")[2],
-            _bare(fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if segment else None)), int(number) if segment else None,
-            int(fields["warc-segment-total-length"]) if "warc-segment-total-length" in fields else None, block if segment else None,
+            _bare(fields.get("warc-segment-origin-id") or (fields.get("warc-record-id") if segment else None)), whole(number),
+            whole(fields.get("warc-segment-total-length")), block if segment else None,
             data if with_payload else None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), fault,
         )
 
@@ -207,7 +233,7 @@ def read_archive(spark: SparkSession, path: str, keep, *, with_payload: bool = T
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=target)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{txt,warc}*").load(path).select("content")
     rows = keep(files.mapInArrow(parse, _PARSED), "warc-records")
     final = ["record_id", "record_type", "uri", "refers_to_id", "stated_digest", "payload", "payload_bytes", "payload_digest", "problem"]
     return rows.where("origin is null").select(final).unionByName(_reassembled(rows.where("origin is not null"), with_payload).select(final))
@@ -231,7 +257,7 @@ def _reassembled(segments: DataFrame, with_payload: bool) -> DataFrame:
         by_number = {p["number"]: p for p in parts}
         if fault := next((p["problem"] for p in parts if p["problem"]), None):
             return None, fault
-        if sorted(by_number) != list(range(1, len(by_number) + 1)):
+        if None in by_number or sorted(by_number) != list(range(1, len(by_number) + 1)):
             return None, "a segment is missing"
         block = b"".join(by_number[k]["block"] for k in sorted(by_number))
         total = by_number[len(by_number)]["total"]

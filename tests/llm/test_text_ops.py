@@ -76,7 +76,13 @@ def test_warc_faults(spark, tmp_path):
     out = {r.record_id: r.problem for r in warc.read_archive(spark, str(tmp_path), common.saved).collect()}
     assert out == {"urn:page:1:d": "a segment is missing", "urn:page:2:d": "the record is cut short"}
     assert warc.unframed(b"3;x=1\r\nabc\r\n0\r\nT: v\r\n\r\n") == b"abc"
-    for broken in (b"5\r\nabc\r\n0\r\n\r\n", b"", b"zz\r\n"):
+    (tmp_path / "a.txt.gz").unlink()
+    good = warc.records("urn:page:3:d", "u", "z" * 200, "0", None, 4000, 100)[0] + end
+    (tmp_path / "b.warc").write_bytes(good.encode() + good.encode().replace(b"Content-Length: ", b"Content-Length: abc"))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress((good * 50).encode())[:-20])
+    odd = [r.problem for r in warc.read_archive(spark, str(tmp_path), common.saved).collect()]
+    assert sum(p is None for p in odd) >= 1 and any("isn't a number" in p for p in odd if p) and any("broken" in p for p in odd if p)
+    for broken in (b"1_0\r\nabc\r\n0\r\n\r\n", b"5\r\nabc\r\n0\r\n\r\n", b"", b"zz\r\n"):
         with pytest.raises(ValueError):
             warc.unframed(broken)
 
@@ -89,6 +95,15 @@ def test_licences_against_rules(spark):
     assert [m["rule"] for m in scan(licenses.SENTENCES["mit-grant"].replace(" any ", "\nany "))] == ["mit-grant"] and wrapped
     assert [m["licence"] for m in scan("Prose. Released under the MIT License. Prose, 4.0.\nLicensed under CC BY-NC 4.0.")] == ["MIT", "CC-BY-NC-4.0"]
     assert [m["rule"] for m in scan(" ".join(licenses.SENTENCES[s] for s in ("bsd-redistribution", "bsd-source", "bsd-binary")))] == ["bsd-2"]
+    grant = licenses.SENTENCES["mit-grant"].split()
+    assert [m["rule"] for m in scan("\n".join(" ".join(grant[i : i + 4]) for i in range(0, len(grant), 4)))] == ["mit-grant"]
+    named = {"SPDX-License-Identifier: BSD-3-Clause": "BSD-3-Clause", "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "Licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0", "# SPDX-License-Identifier: MPL-2.0": "MPL-2.0"}
+    for line, licence in named.items():
+        assert [m["licence"] for m in scan(f"Intro.\n{line}\nMore.")] == [licence], line
+    header = f'{licenses.SENTENCES["mpl2-subject"]}\n{licenses.SENTENCES["mpl2-copy"]} https://mozilla.org/MPL/2.0/.'
+    assert [m["licence"] for m in scan(header)] == ["MPL-2.0"]
+    agpl = " ".join(licenses.SENTENCES[x] for x in ("agpl3-redistribute", "gpl-hope", "agpl-details"))
+    assert [m["rule"] for m in scan(agpl)] == ["agpl3-notice"]
     far = licenses.SENTENCES["apache-header"] + " A. B. C. D. " + licenses.SENTENCES["apache-use"]
     assert [m["rule"] for m in scan(far)] == ["apache-header-short"]
     assert scan(None) == scan("") == scan("We licensed nothing.") == []
@@ -104,6 +119,35 @@ def test_licences_against_rules(spark):
             assert d.text[lo:hi] in plain
 
 
+def test_ordered_rules_against_brute_force():
+    """Matches over random sentence sequences: all ways to place a rule, greedy choice of the documented order."""
+    rng = random.Random(6)
+    known = {x: f"sentence {x}" for x in "abcd"}
+    rules = [("r1", "L1", ("a", "b", "c")), ("r2", "L2", ("a", "b")), ("r3", "L3", ("b",)), ("r4", "L4", ("c", "a"))]
+    scanner = licenses.Scanner(known, rules, gap=1)
+    for _ in range(200):
+        row = [rng.choice("abcdxx") for _ in range(rng.randrange(12))]
+        text = "\n".join(f"Sentence {x}." if x in known else f"Other {i}." for i, x in enumerate(row))
+        possible = []
+        for order, (_, _, steps) in enumerate(rules):
+            for at in range(len(row)):
+                places, ok = [at], row[at] == steps[0]
+                for step in steps[1:]:
+                    nxt = next((j for j in range(places[-1] + 1, min(places[-1] + 3, len(row))) if row[j] == step), None)
+                    if nxt is None:
+                        ok = False
+                        break
+                    places.append(nxt)
+                if ok:
+                    possible.append((-len(steps), at, order, places))
+        taken, want = set(), []
+        for _, at, order, places in sorted(possible):
+            if taken.isdisjoint(places):
+                taken.update(places)
+                want.append((at, rules[order][0]))
+        assert [m["rule"] for m in scanner.scan(text)] == [r for _, r in sorted(want)], row
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
     v = rng.random((1000, 40)) * (rng.random((1000, 40)) < 0.1) * (np.arange(40) % 7 + 0.2)
