@@ -8,7 +8,7 @@ the share of agreeing samples estimates it (standard error sqrt(J (1 - J) / K)).
 the fingerprint.
 
 ``neighbour_fingerprints`` also needs every document's successor by descending identifier. Identifiers are cut into
-buckets at approximate quantiles, at most four for each shuffle partition and never more than 4096, so the lists of
+buckets at approximate quantiles, at most four for each shuffle partition and never more than 65,536, so the lists of
 quantiles and bucket heads stay small; texts move once, to their bucket, and a bucket's head moves as a second copy to
 the bucket before. Nothing is sorted globally and no task holds more than its buckets.
 
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLES = 24
+SAMPLES = 32
 _FULL = 32 * math.log(2.0)  # -ln of two 16-bit uniforms' common denominator
 
 
@@ -61,7 +61,7 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 def _bucket_of(doc_id: Column, cuts: list[int]) -> Column:
     """Number of cuts at or below the identifier, found in two steps; -1 for null."""
-    step = 64
+    step = max(1, math.isqrt(len(cuts)))
     tops = cuts[step::step]
     below = lambda xs: F.size(F.filter(xs, lambda x: x <= doc_id))
     longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]).cast("array<bigint>")
@@ -75,11 +75,11 @@ def with_successor(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``bucket, place, ghost, doc_id, text, next_text``; ghosts are copies of bucket heads, there only to be successors."""
     spark = df.sparkSession
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = min(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0]
+    n = min(65_536, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
     cuts = sorted(set(found or []))
     bucketed = rows.withColumn("bucket", _bucket_of(F.col("doc_id"), cuts))
-    # one row for each bucket, of which there are at most 4097
+    # one row for each bucket, of which there are at most 65,537
     heads = {r.bucket: r.head for r in bucketed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads)
     target = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
