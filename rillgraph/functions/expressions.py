@@ -38,11 +38,13 @@ def initialism(tokens: Column) -> Column:
 
 
 def parsed_time(text: Column) -> Column:
-    """ISO text (zone, ``Z`` or none: UTC), three common day forms, or a number: seconds, above 1e11 milliseconds. Else null."""
-    number = F.expr("null").cast("double") if text is None else text.try_cast("double")
+    """ISO text (zone, ``Z`` or none: UTC; also without separators), else a number: seconds, above 1e11 milliseconds. Else null."""
+    number = text.try_cast("double")
     seconds = F.when(number > 1e11, number / 1000).otherwise(number)
-    forms = [F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm:ss")]
-    return F.coalesce(F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")), F.try_to_timestamp(text), *forms)
+    day = F.when(text.rlike(r"^\d{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+    short = F.when(text.rlike(r"^\d{8}T\d{6}Z?$"), F.try_to_timestamp(F.substring(text, 1, 15), F.lit("yyyyMMdd'T'HHmmss")))
+    long = F.when(number.isNull() & text.rlike(r"^\s*\d{4}-"), F.try_to_timestamp(text))
+    return F.coalesce(day, short, F.timestamp_micros((seconds * 1_000_000).try_cast("bigint")), long)
 
 
 def strict_number(text: Column, kind: str) -> Column:

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 
-UNROLLED = 3
-
-
 def closure(edges: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     """All pairs ``src, dst`` joined by a walk of any length of at least 1, from the seeds (column ``src``) if given.
 
@@ -37,19 +34,18 @@ def step_edges(triples: DataFrame, predicates: list[str] | None = None, literals
 def reachable(triples: DataFrame, seeds: DataFrame, hops: int, predicates: list[str] | None = None, targets: DataFrame | None = None, literals: bool = False) -> DataFrame:
     """Distinct ``src, dst`` for seeds (column ``src``).
 
-    The plan is unrolled: each step joins the newest pairs with the edges and drops pairs already found, which is safe
-    as any walk that would extend them was there one step earlier. Seeding first and the semi-join with targets keep
-    the frontier to what the pattern can use; hub nodes are expanded once per source at most.
+    The plan is unrolled: each step joins the pairs of the one before with the edges, and the pairs of all steps are made
+    distinct once, at the end. So a step's plan holds that of the one before and no more, and scans grow with the square
+    of the hops at most, most of them shared exchanges. Seeding first and the semi-join with targets keep the frontier to
+    what the pattern can use; hub nodes are expanded once per source and step.
     """
     if hops < 1:
         raise ValueError("hops must be at least 1")
     edges = step_edges(triples, predicates, literals)
     onward = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))  # literals are never subjects, so walks end there
     found = newest = edges.join(seeds.select("src").distinct(), "src", "left_semi")
-    for k in range(2, hops + 1):
+    for _ in range(2, hops + 1):
         newest = newest.join(onward, newest.dst == onward.via).select("src", F.col("next").alias("dst")).distinct()
-        if k <= UNROLLED:  # dropping known pairs repeats the plan so far, which only pays while that is short
-            newest = newest.join(found, ["src", "dst"], "left_anti")
         found = found.unionByName(newest)
-    found = found if hops <= UNROLLED else found.distinct()
-    return found if targets is None else found.join(targets.select(F.col("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    found = found if targets is None else found.join(targets.select(F.col("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+    return found if hops == 1 else found.distinct()

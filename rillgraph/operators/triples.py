@@ -23,7 +23,7 @@ def when_text(at: datetime) -> Term:
     return Term(at.isoformat(), "lit", XSD + "dateTime")
 
 
-def union_graph(triples: DataFrame, ontologies: DataFrame | None = None, imports: str = "http://www.w3.org/2002/07/owl#imports", max_depth: int = 16) -> DataFrame:
+def union_graph(triples: DataFrame, ontologies: DataFrame | None = None, imports: str = "http://www.w3.org/2002/07/owl#imports") -> DataFrame:
     """Main triples plus those of every ontology that main imports, directly or not. ``ontologies``: same columns, ``g`` names the ontology."""
     main = triples.where(F.col("g") == MAIN)
     if ontologies is None:
@@ -31,7 +31,7 @@ def union_graph(triples: DataFrame, ontologies: DataFrame | None = None, imports
     wanted = main.where(F.col("p") == imports).select(F.col("o").alias("g")).distinct()
     links = ontologies.where(F.col("p") == imports).select(F.col("g").alias("from"), F.col("o").alias("g")).distinct()
     count, seen = -1, wanted
-    for _ in range(max_depth):  # depth of the import tree, not of the data
+    while True:  # as often as the import tree is deep
         n = seen.count()
         if n == count:
             break
@@ -65,7 +65,7 @@ class TripleStore:
         if "\n" not in text and os.path.exists(text):
             with open(text, encoding="utf-8") as f:
                 text = f.read()
-        new = rdf.to_frame(self.spark, rdf.parse(text, format), MAIN)
+        new = rdf.to_frame(self.spark, rdf.parse(text, format, scoped=True), MAIN)
         old = self.triples.where(F.col("g") != MAIN) if replace else self.triples
         self._put(old.unionByName(new).distinct())
         return self.counts()
@@ -75,7 +75,7 @@ class TripleStore:
         if "\n" not in text and os.path.exists(text):
             with open(text, encoding="utf-8") as f:
                 text = f.read()
-        new = rdf.to_frame(self.spark, rdf.parse(text, format), iri)
+        new = rdf.to_frame(self.spark, rdf.parse(text, format, scoped=True), iri)
         self.registry[iri] = text_or_path
         self.ontologies = new if self.ontologies is None else self.ontologies.where(F.col("g") != iri).unionByName(new)
         self._union = None

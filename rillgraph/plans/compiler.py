@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_name
-from ..operators.hops import reachable
+from ..operators.hops import reachable, step_edges
 from ..vocab import XSD, Vocabulary
 from .ir import Pattern
 
@@ -69,13 +69,16 @@ class Compiler:
                 continue
             left.remove(edge)
             a, b = column(edge.source), column(edge.target)
-            seeds = own[edge.source]
-            if edge.source in bound:
-                seeds = out.select(a).distinct()
-            elif seeds is None:
-                seeds = self.triples.select(F.col("s").alias(a)).distinct()
             target = own[edge.target]
-            pairs = reachable(self.triples, seeds.select(F.col(a).alias("src")), edge.hops, list(edge.predicates), None if target is None else target.select(F.col(b).alias("dst")), literals=target is None).toDF(a, b)
+            ends = None if target is None else target.select(F.col(b).alias("dst"))
+            if edge.hops == 1:  # the join below keeps to what is bound, so nothing needs to be seeded
+                pairs = step_edges(self.triples, list(edge.predicates), literals=target is None)
+                pairs = (pairs if ends is None else pairs.join(ends, "dst", "left_semi")).select("src", "dst").toDF(a, b)
+            else:
+                seeds = own[edge.source]
+                if seeds is None:
+                    seeds = out.select(a).distinct() if edge.source in bound else self.triples.select(F.col("s").alias(a)).distinct()
+                pairs = reachable(self.triples, seeds.select(F.col(a).alias("src")), edge.hops, list(edge.predicates), ends, literals=target is None).toDF(a, b)
             if edge.source in bound and edge.target in bound:
                 out = out.join(pairs, [a, b], "left_semi")
             else:

@@ -359,14 +359,50 @@ class _Planner:
         flat = [x for v, (c, k) in cols.items() for x in (c.alias(v), k.alias(kind_of(v)))]
         return base.select(*(flat or [F.lit(1).alias("__one"), F.lit("").alias("__one#k")])).distinct()
 
-    def join(self, x: DataFrame | None, y: DataFrame, how: str = "inner") -> DataFrame:
+    @staticmethod
+    def loose(df: DataFrame) -> set[str]:
+        """Variables that some solution may leave unbound."""
+        return getattr(df, "_loose", set())
+
+    def marked(self, df: DataFrame, loose: set[str]) -> DataFrame:
+        df._loose = {v for v in loose if v in df.columns}
+        return df
+
+    def join(self, x: DataFrame | None, y: DataFrame, how: str = "inner", checks: list = ()) -> DataFrame:
+        """Compatible solutions: equal where both bind a variable. ``checks`` are conditions of a left join, over both sides."""
         if x is None:
             return y
-        y = y.drop("__one", "__one#k") if "__one" in x.columns and "__one" in y.columns else y
-        keys = [c for c in x.columns if c in y.columns]
-        if not keys:
-            return x.crossJoin(y) if how == "inner" else x.join(y, F.lit(True), how)
-        return x.join(y, keys, how)
+        y = self.marked(y.drop("__one", "__one#k"), self.loose(y)) if "__one" in x.columns and "__one" in y.columns else y
+        shared = [v for v in self.names(x) if v in y.columns]
+        loose = (self.loose(x) | self.loose(y)) & set(shared)
+        semi = how in ("left_semi", "left_anti")
+        after = set() if semi else (self.loose(x) & self.loose(y)) | ((self.loose(x) | self.loose(y)) - set(shared))
+        if how == "left":
+            after |= self.loose(x) | (set(self.names(y)) - set(shared))
+        if not loose and not checks:
+            keys = [c for v in shared for c in (v, kind_of(v))]
+            if not keys:
+                return self.marked(x.crossJoin(y) if how == "inner" else x.join(y, F.lit(True), how), after if not semi else self.loose(x))
+            return self.marked(x.join(y, keys, how), after if not semi else self.loose(x))
+        other = y.withColumnsRenamed({c: f"__y_{c}" for v in shared for c in (v, kind_of(v))})
+        col = lambda c: F.col(f"`{c}`")
+        on, both_bound = F.lit(True), F.lit(False)
+        for v in shared:
+            same = (col(v) == col(f"__y_{v}")) & (col(kind_of(v)) == col(f"__y_{kind_of(v)}"))
+            on = on & ((same | col(v).isNull() | col(f"__y_{v}").isNull()) if v in loose else same)
+            both_bound = both_bound | (col(v).isNotNull() & col(f"__y_{v}").isNotNull())
+        if how == "left_anti":  # MINUS takes away only what shares a bound variable
+            on = on & both_bound
+        names = x.limit(0).join(y.limit(0).drop(*[c for v in shared for c in (v, kind_of(v))]), F.lit(True)) if checks else None
+        for c in checks:
+            on = on & self.truth(c, names)
+        out = x.join(other, on, how)
+        if semi:
+            return self.marked(out, self.loose(x))
+        for v in shared:
+            bound = col(v).isNotNull()
+            out = out.withColumns({kind_of(v): F.when(bound, col(kind_of(v))).otherwise(col(f"__y_{kind_of(v)}")), v: F.coalesce(col(v), col(f"__y_{v}"))})
+        return self.marked(out.drop(*[f"__y_{c}" for v in shared for c in (v, kind_of(v))]), after)
 
     def group(self, parts: list) -> DataFrame:
         out: DataFrame | None = None
@@ -383,36 +419,42 @@ class _Planner:
             if p[0] == "values":
                 rows = [[x for t in row for x in ((None, None) if t is None else (t.value, _term_kind(t)))] for row in p[2]]
                 schema = ", ".join(f"`{v}` string, `{kind_of(v)}` string" for v in p[1])
-                out = self.join(out, self.spark.createDataFrame(rows, schema))
+                unset = {v for i, v in enumerate(p[1]) if any(row[i] is None for row in p[2])}
+                out = self.join(out, self.marked(self.spark.createDataFrame(rows, schema), unset))
             elif p[0] == "union":
                 ways = [self.group(w) for w in p[1]]
-                out = self.join(out, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ways))
+                every = [set(self.names(w)) for w in ways]
+                unset = set().union(*every) - set.intersection(*every) | set().union(*(self.loose(w) for w in ways))
+                out = self.join(out, self.marked(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), ways), unset))
             elif p[0] == "sub":
                 out = self.join(out, self.query(p[1], keep_kinds=True))
         out = self.spark.range(1).select(F.lit(1).alias("__one"), F.lit("").alias("__one#k")) if out is None else out
         for p in parts:
             if p[0] == "optional":
-                inner = [x for x in p[1] if x[0] != "filter"]
-                right = self.group(inner)
+                # a condition may speak of variables outside, so it belongs to the join
                 checks = [x[1] for x in p[1] if x[0] == "filter"]
+                right = self.group([x for x in p[1] if x[0] != "filter"])
                 for c in checks:
-                    right = self.filtered(right, c)
-                out = self.join(out, right, "left")
+                    if isinstance(c, tuple) and c[0] == "exists":
+                        right = self.filtered(right, c)
+                out = self.join(out, right, "left", [c for c in checks if not (isinstance(c, tuple) and c[0] == "exists")])
             elif p[0] == "minus":
                 right = self.group(p[1])
                 if set(self.names(out)) & set(self.names(right)):
                     out = self.join(out, right, "left_anti")
             elif p[0] == "bind":
-                out = out.withColumns({p[1]: self.text(p[2], out), kind_of(p[1]): self.kinds(p[2], out)})
+                out = self.marked(out.withColumns({p[1]: self.text(p[2], out), kind_of(p[1]): self.kinds(p[2], out)}), self.loose(out) | {p[1]})
+        unset = self.loose(out)
         for c in filters:
-            out = self.filtered(out, c)
+            out = self.marked(self.filtered(out, c), unset)
         return out
 
     def filtered(self, df: DataFrame, c) -> DataFrame:
         if isinstance(c, tuple) and c[0] == "exists":
             return self.join(df, self.group(c[2]), "left_semi" if c[1] else "left_anti")
         if isinstance(c, tuple) and c[0] == "&&":
-            return self.filtered(self.filtered(df, c[1]), c[2])
+            first = self.marked(self.filtered(df, c[1]), self.loose(df))
+            return self.filtered(first, c[2])
         return df.where(self.truth(c, df))
 
     # expressions
@@ -492,8 +534,12 @@ class _Planner:
         c, n = self.text(args[0], df), self.number(args[0], df)
         if name == "GROUP_CONCAT":
             return F.array_join(F.array_sort(F.collect_set(c) if distinct else F.collect_list(c)), separator)
-        if name in ("SUM", "AVG"):
-            return (F.sum_distinct(n) if distinct else F.sum(n)).cast("string") if name == "SUM" else F.avg(n).cast("string")
+        if name == "SUM":
+            whole = F.when(c.rlike(r"^[+-]?\d+$"), c.try_cast("decimal(38,0)"))
+            total = lambda x: F.sum_distinct(x) if distinct else F.sum(x)
+            return F.when(F.count(c) == F.count(whole), F.coalesce(total(whole), F.lit(0).cast("decimal(38,0)")).cast("string")).otherwise(total(n).cast("string"))
+        if name == "AVG":
+            return F.avg(n).cast("string")
         if name == "SAMPLE":
             return F.min(c)
         numeric = F.min(n) if name == "MIN" else F.max(n)
@@ -520,7 +566,8 @@ class _Planner:
             cols = [self.aggregate(e, df).alias(v) for v, e in {**aggs, **extra}.items()]
             cols += [F.min(F.col(f"`{kind_of(v)}`")).alias(kind_of(v)) for v in keys]
             df = df.groupBy(*[F.col(f"`{v}`") for v in keys]).agg(*cols)
-            df = df.withColumns({kind_of(v): F.lit(_term_kind(Term("", "lit", XSD + "decimal"))) for v in [*aggs, *extra]})
+            typed = lambda v, e: F.lit(_term_kind(Term("", "lit", XSD + "integer"))) if e[1] == "COUNT" else F.when(F.col(f"`{v}`").rlike(r"^[+-]?\d+$"), _term_kind(Term("", "lit", XSD + "integer"))).when(F.col(f"`{v}`").try_cast("double").isNotNull(), _term_kind(Term("", "lit", XSD + "decimal"))).otherwise(_term_kind(Term("", "lit", XSD + "string")))
+            df = df.withColumns({kind_of(v): typed(v, e) for v, e in {**aggs, **extra}.items()})
             for h in having:
                 df = self.filtered(df, h)
             q = q | {"order": order}
@@ -538,7 +585,8 @@ class _Planner:
         df = df.orderBy(*order) if order else df
         df = df.offset(q["offset"]) if q["offset"] else df
         df = df.limit(q["limit"]) if q["limit"] is not None else df
-        return df.select(*shown, *(kinds if keep_kinds else []))
+        unset = self.loose(df) if hasattr(df, "_loose") else set()
+        return self.marked(df.select(*shown, *(kinds if keep_kinds else [])), unset)
 
 
 def select(triples: DataFrame, text: str) -> DataFrame:

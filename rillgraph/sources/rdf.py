@@ -6,6 +6,7 @@ which splits them by line like any text source.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable
@@ -52,6 +53,32 @@ def _unescaped(text: str) -> str:
     return _ESCAPE.sub(lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else _PLAIN.get(m[3], m[3]), text)
 
 
+def resolved(base: str, ref: str) -> str:
+    """An IRI reference against a base, by RFC 3986, section 5.2."""
+    parts = re.compile(r"^(?:([A-Za-z][\w+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", re.S)
+    scheme, host, path, query, fragment = parts.match(ref).groups()
+    if scheme is None:
+        scheme, base_host, base_path, base_query, _ = parts.match(base).groups()
+        if host is None:
+            host = base_host
+            if path == "":
+                path, query = base_path, base_query if query is None else query
+            elif not path.startswith("/"):
+                path = ("/" if base_host is not None and not base_path else base_path.rpartition("/")[0] + ("/" if "/" in base_path else "")) + path
+    out: list[str] = []
+    steps = path.split("/")
+    for i, step in enumerate(steps):
+        if step == "..":
+            if len(out) > 1 or out and out[0]:
+                out.pop()
+        elif step != ".":
+            out.append(step)
+        if step in (".", "..") and i == len(steps) - 1:
+            out.append("")
+    path = "/".join(out)
+    return "".join([f"{scheme}:" if scheme else "", f"//{host}" if host is not None else "", path, f"?{query}" if query is not None else "", f"#{fragment}" if fragment is not None else ""])
+
+
 class _Turtle:
     """Recursive descent over the token list."""
 
@@ -66,6 +93,9 @@ class _Turtle:
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
         self.at, self.prefixes, self.base, self.blank = 0, {}, "", 0
+        self.own = "b"  # what generated labels begin with, and no written one does
+        while f"_:{self.own}" in text:
+            self.own += "b"
         self.out: list[Triple] = []
 
     def peek(self) -> tuple[str, str]:
@@ -104,11 +134,11 @@ class _Turtle:
 
     def iri(self, text: str) -> str:
         value = _unescaped(text[1:-1])
-        return value if re.match(r"[A-Za-z][\w+.-]*:", value) else self.base + value
+        return resolved(self.base, value) if self.base else value
 
     def fresh(self) -> Term:
         self.blank += 1
-        return Term(f"_:b{self.blank}", "bnode")
+        return Term(f"_:{self.own}{self.blank}", "bnode")
 
     def properties(self, subject: str) -> None:
         while self.peek()[1] not in (".", "]", ""):
@@ -219,13 +249,19 @@ def _trix(text: str) -> list[Triple]:
     return out
 
 
-_READERS = {"turtle": lambda t: _Turtle(t).parse(), "ttl": lambda t: _Turtle(t).parse(), "n3": lambda t: _Turtle(t).parse(), "nt": lambda t: _Turtle(t).parse(), "xml": _rdf_xml, "trix": _trix}
+_READERS = {"turtle": lambda t: _Turtle(t).parse(), "ttl": lambda t: _Turtle(t).parse(), "nt": lambda t: _Turtle(t).parse(), "xml": _rdf_xml, "trix": _trix}
 
 
-def parse(text: str, format: str = "turtle") -> list[Triple]:
+def parse(text: str, format: str = "turtle", scoped: bool = False) -> list[Triple]:
+    """The triples of a document. ``scoped`` gives its blank nodes labels that those of other documents don't have."""
     if format not in _READERS:
         raise ValueError(f"unknown format {format!r}; known: {sorted(_READERS)}")
-    return _READERS[format](text)
+    found = _READERS[format](text)
+    if not scoped:
+        return found
+    scope = hashlib.sha1(text.encode()).hexdigest()[:10]
+    own = lambda x: f"_:{scope}-{x[2:]}" if x.startswith("_:") else x
+    return [(own(s), p, o._replace(value=own(o.value)) if o.kind == "bnode" else o) for s, p, o in found]
 
 
 def to_frame(spark: SparkSession, triples: Iterable[Triple], graph: str = "main") -> DataFrame:

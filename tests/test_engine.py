@@ -237,3 +237,48 @@ def test_text_and_units(spark):
     assert u.infer("m/s").multiplier == 1 and abs(u.convert(u.convert(7, "DEG_F", "DEG_C"), "DEG_C", "DEG_F") - 7) < 1e-9
     with pytest.raises(ValueError):
         u.convert(1, "m", "s")
+
+
+def test_sparql_unbound_variables(spark):
+    e = Engine(spark)
+    e.load_graph("@prefix x: <urn:> . x:a x:p 1 ; x:q 2 . x:b x:p 3 ; x:q 2 . x:c x:p 5 . x:a x:r x:b . x:c x:r x:a .")
+    q = lambda t: sorted((tuple(None if v is None else v.removeprefix("urn:") for v in r) for r in e.sparql_query("PREFIX x: <urn:> " + t).collect()), key=str)
+    assert q("SELECT ?s ?y WHERE { ?s x:p ?x OPTIONAL { ?s x:q ?y FILTER(?y > ?x) } }") == [("a", "2"), ("b", None), ("c", None)]
+    assert q("SELECT ?s ?x WHERE { ?s x:p ?x VALUES (?s ?x) { (UNDEF 1) (x:b UNDEF) } }") == [("a", "1"), ("b", "3")]
+    assert q("SELECT ?s ?y ?o WHERE { { ?s x:p ?x } UNION { ?s x:q ?y } ?s x:r ?o }") == [("a", "2", "b"), ("a", None, "b"), ("c", None, "a")]
+    assert q("SELECT ?s ?y WHERE { { ?s x:p ?x } UNION { ?z x:q ?y } ?z x:q ?y }")[0][0] == "a"
+    assert len(q("SELECT ?s ?z ?y WHERE { { ?s x:p ?x } UNION { ?z x:q ?y } ?z x:q ?y }")) == 8
+    assert q("SELECT (SUM(?x) AS ?n) WHERE { ?s x:p ?x }") == [("9",)]
+    assert q("SELECT ?s WHERE { ?s x:p ?x OPTIONAL { ?s x:q ?y } MINUS { ?t x:q ?y } }") == [("c",)]
+
+
+def test_rdf_names(spark):
+    base = "http://h/a/b"
+    for ref, want in {"../c": "http://h/c", "c": "http://h/a/c", "#f": "http://h/a/b#f", "?q": "http://h/a/b?q", "//k/x": "http://k/x", "/y/./z/../w": "http://h/y/w", "": "http://h/a/b", "urn:x:y": "urn:x:y", ".": "http://h/a/", "../../../g": "http://h/g"}.items():
+        assert rdf.resolved(base, ref) == want, ref
+    assert rdf.parse("@base <http://h/a/b> . <../c> <p> <#d> .")[0] == ("http://h/c", "http://h/a/p", rdf.Term("http://h/a/b#d"))
+    found = rdf.parse("_:b1 <urn:p> [ <urn:q> 1 ] .")
+    assert {len({s, o.value}) for s, _, o in found} == {2} and '_:b1' in {s for s, _, _ in found} and len({s for s, _, _ in found}) == 2
+    e = Engine(spark)
+    e.load_graph("[] <urn:p> 1 . _:x <urn:p> 3 .")
+    e.load_graph("[] <urn:p> 2 . _:x <urn:p> 4 .", replace=False)
+    assert e.sparql_query("SELECT DISTINCT ?s WHERE { ?s <urn:p> ?o }").count() == 4
+
+
+def test_times(spark):
+    from pyspark.sql import functions as F
+
+    from rillgraph.functions.expressions import parsed_time
+
+    forms = {"20240101": "2024-01-01 00:00:00", "20240101T010203": "2024-01-01 01:02:03", "2024-01-01T00:00:00Z": "2024-01-01 00:00:00", "2024-01-01 05:00:00+05:00": "2024-01-01 00:00:00", "1704067200": "2024-01-01 00:00:00", "1704067200000": "2024-01-01 00:00:00", "05/06/2024 00:00:00": None, "x": None, "": None}
+    got = spark.createDataFrame([(k,) for k in forms], "t string").select("t", F.date_format(parsed_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("v")).collect()
+    assert {r.t: r.v for r in got} == forms
+
+
+def test_hop_plans_stay_small(spark, tmp_path):
+    rdf.to_frame(spark, [("n1", "p", rdf.Term("n2"))]).write.parquet(str(tmp_path / "t"))
+    triples = spark.read.parquet(str(tmp_path / "t"))
+    seeds = spark.createDataFrame([("n1",)], "src string")
+    for hops, most in ((1, 1), (3, 6), (5, 15)):
+        plan = reachable(triples, seeds, hops)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [") <= most
