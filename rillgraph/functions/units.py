@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..vocab import QUDT, RDFS, UNIT
 
 #: Everyday names and the units they mean.
-ALIASES = {"meter": "M", "metre": "M", "second": "SEC", "minute": "MIN", "hour": "HR", "liter": "L", "litre": "L", "celsius": "DEG_C", "fahrenheit": "DEG_F", "kelvin": "K", "gallon": "GAL_US", "gpm": "GAL_US-PER-MIN", "psi": "LB_F-PER-IN2", "percent": "PERCENT"}
+ALIASES = {"meter": "M", "metre": "M", "second": "SEC", "minute": "MIN", "hour": "HR", "liter": "L", "litre": "L", "celsius": "DEG_C", "fahrenheit": "DEG_F", "kelvin": "K", "gallon": "GAL_US", "gpm": "GAL_US-PER-MIN", "psi": "LB_F-PER-IN2", "percent": "PERCENT", "gal": "GAL_US", "gallon_us": "GAL_US", "km": "KiloM", "kilometer": "KiloM", "kilometre": "KiloM", "degf": "DEG_F", "degc": "DEG_C"}
 #: SI factors of the US gallon and of US gallons a minute.
 OVERRIDES = {"GAL_US": "0.003785411784", "GAL_US-PER-MIN": "0.0000630901964"}
 _LABELS = (RDFS + "label", "http://www.w3.org/2004/02/skos/core#prefLabel", QUDT + "symbol", QUDT + "ucumCode", QUDT + "uneceCommonCode")

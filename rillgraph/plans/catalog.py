@@ -15,15 +15,16 @@ from ..functions import expressions as X
 from ..functions.text import Concept, Lexicon, match_all
 from ..functions.units import Unit, Units
 from ..operators import series as S
-from ..operators.hops import reachable
-from ..operators.triples import union_graph
+from ..operators.hops import closure, reachable
+from ..operators.triples import TripleStore, union_graph
 from ..sources.files import references
 from ..sources.rdf import SCHEMA
-from ..streaming.ingest import decoded
+from ..streaming.ingest import complete_rows, with_payload
 from ..vocab import RDF_TYPE, XSD, Vocabulary
 from . import sparql
 from .compiler import Compiler
 from .ir import Pattern
+from .query import Query
 
 V = Vocabulary()
 P = "urn:p/"
@@ -127,9 +128,18 @@ def hop1_preds(spark, sf):
     return _bindings(spark, sf, Pattern().with_node(_t("nation"), "a").with_node(_t("region"), "b").with_edge(0, 1, (P + "inRegion", P + "inNation", P + "inRegion")), ("nation", "region"), ["a", "b"])
 
 
-@query("hop2_pred", f"with {_EDGES_SQL} select a.s a, b.o b from edges a join edges b on a.o = b.s where a.p = 'inNation' and b.p = 'inNation'")
+_NEXT_SQL = "select 'urn:n/' || n_nationkey s, 'urn:n/' || (n_nationkey + 1) % 25 o from nation"
+
+
+@query("hop2_pred", f"with e as ({_NEXT_SQL}) select s a, o b from e union select x.s, y.o from e x join e y on x.o = y.s")
 def hop2_pred(spark, sf):
-    return _bindings(spark, sf, Pattern().with_node(_t("customer"), "a").with_node(_t("region"), "b").with_edge(0, 1, (P + "inNation",), 2), ("customer", "nation", "region"), ["a", "b"])
+    """One or two steps of one predicate, on a ring of nations."""
+    n = table(spark, sf, "nation")
+    name = lambda c: F.concat(F.lit("urn:n/"), c.cast("string"))
+    ring = n.select(F.lit("main").alias("g"), name(F.col("n_nationkey")).alias("s"), F.lit(P + "next").alias("p"), name((F.col("n_nationkey") + 1) % 25).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    t = triples(spark, sf, ("nation",)).unionByName(ring)
+    pattern = Pattern().with_node(_t("nation"), "a").with_node(_t("nation"), "b").with_edge(0, 1, (P + "next",), 2)
+    return Compiler(t, V).compile(pattern).toDF("a", "b")
 
 
 @query("hop3_any", "select 'urn:o/' || o_orderkey o, 'urn:r/' || n_regionkey r from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
@@ -207,14 +217,72 @@ def sparql_group(spark, sf):
     return sparql.select(triples(spark, sf, ("nation", "customer")), f"SELECT ?n (COUNT(?c) AS ?k) WHERE {{ ?c a <{_t('customer')}> . ?c <{P}inNation> ?n }} GROUP BY ?n HAVING (COUNT(?c) > 2)")
 
 
-@query("sparql_minus", "select 'urn:n/' || n_nationkey n from nation where n_nationkey not in (select s_nationkey from supplier)")
+@query("sparql_minus", "select 'urn:c/' || c_custkey x from customer")
 def sparql_minus(spark, sf):
-    return sparql.select(triples(spark, sf, ("nation", "supplier")), f"SELECT ?n WHERE {{ ?n a <{_t('nation')}> MINUS {{ ?s <{P}inNation> ?n }} }}")
+    return sparql.select(triples(spark, sf, ("nation", "supplier", "customer")), f"SELECT ?x WHERE {{ ?x <{P}inNation> ?n MINUS {{ ?x a <{_t('supplier')}> }} }}")
+
+
+@query("sparql_optional_filter", "select 'urn:n/' || n_nationkey n, 'urn:s/' || s_suppkey s from nation left join supplier on s_nationkey = n_nationkey and 'urn:s/' || s_suppkey > 'urn:s/' || n_nationkey and n_name <> 'FRANCE'")
+def sparql_optional_filter(spark, sf):
+    """A condition inside OPTIONAL that speaks of outer variables."""
+    rows = triples(spark, sf, ("nation", "supplier")).where(F.col("p") != V.external_reference)
+    found = sparql.select(rows, f"SELECT ?n ?s WHERE {{ ?n a <{_t('nation')}> . ?n <{P}label> ?name OPTIONAL {{ ?s <{P}inNation> ?n FILTER(?name != 'FRANCE' && STR(?s) > CONCAT('urn:s/', STRAFTER(STR(?n), 'urn:n/'))) }} }}")
+    return found
+
+
+@query("sparql_values_undef", "select 'urn:n/' || n_nationkey n, 'urn:r/' || n_regionkey r from nation where n_nationkey = 3 or n_regionkey = 2")
+def sparql_values_undef(spark, sf):
+    return sparql.select(triples(spark, sf, ("nation", "region")), f"SELECT DISTINCT ?n ?r WHERE {{ ?n <{P}inRegion> ?r VALUES (?n ?r) {{ (<urn:n/3> UNDEF) (UNDEF <urn:r/2>) }} }}")
+
+
+@query("sparql_union_join", "select 'urn:n/' || n_nationkey x, n_name name from nation union all select 'urn:r/' || r_regionkey, n.n_name from region, nation n")
+def sparql_union_join(spark, sf):
+    """A UNION branch that leaves a variable unbound which is joined later."""
+    t = triples(spark, sf, ("nation", "region"))
+    return sparql.select(t, f"SELECT ?x ?name WHERE {{ {{ ?x a <{_t('nation')}> . ?x <{P}label> ?name }} UNION {{ ?x a <{_t('region')}> }} ?any <{P}label> ?name . ?any a <{_t('nation')}> }}")
+
+
+@query("sparql_sum", "select 'urn:r/' || n_regionkey r, count(*)::varchar k, sum(n_nationkey)::varchar total from nation group by 1")
+def sparql_sum(spark, sf):
+    """Sums of whole numbers are whole numbers."""
+    n = table(spark, sf, "nation")
+    s_ = F.concat(F.lit("urn:n/"), F.col("n_nationkey").cast("string"))
+    numbers = n.select(F.lit("main").alias("g"), s_.alias("s"), F.lit(P + "number").alias("p"), F.col("n_nationkey").cast("string").alias("o"), F.lit("lit").alias("o_kind"), F.lit(XSD + "integer").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang"))
+    t = triples(spark, sf, ("nation",)).unionByName(numbers)
+    return sparql.select(t, f"SELECT ?r (COUNT(?n) AS ?k) (SUM(?x) AS ?total) WHERE {{ ?n <{P}inRegion> ?r . ?n <{P}number> ?x }} GROUP BY ?r")
+
 
+def _store(spark, sf, tables) -> TripleStore:
+    store = TripleStore(spark, V)
+    store.triples = triples(spark, sf, tables)
+    return store
 
-@query("triples_counts", "select 2 * (select count(*) from region) + 3 * (select count(*) from nation) + 4 * (select count(*) from customer) + 3 * (select count(*) from supplier) + 3 * (select count(*) from orders) n")
+
+def _series_store(spark, rows: DataFrame) -> S.SeriesStore:
+    store = S.SeriesStore(spark)
+    store._frame = rows.select("point_uri", F.col("ts").cast("timestamp").alias("ts"), "value")
+    return store
+
+
+def _plain(rows: DataFrame, *times: str) -> DataFrame:
+    """Time columns without a zone, as the driver's tables have them."""
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+class _Source:
+    """What a ``Query`` needs of an engine."""
+
+    def __init__(self, spark, store: TripleStore, series: S.SeriesStore):
+        self.spark, self.store, self.series, self.vocab = spark, store, series, V
+
+    def resolve(self, text: str, kind: str | None = None) -> str:
+        return text
+
+
+@query("triples_counts", "select n, n u from (select 2 * (select count(*) from region) + 3 * (select count(*) from nation) + 4 * (select count(*) from customer) + 3 * (select count(*) from supplier) + 3 * (select count(*) from orders) n)")
 def triples_counts(spark, sf):
-    return triples(spark, sf).agg(F.count("*").alias("n"))
+    n = _store(spark, sf, ("region", "nation", "customer", "supplier", "orders")).counts()
+    return spark.createDataFrame([(n["main"], n["union"])], "n long, u long")
 
 
 @query("union_graph", "select 'urn:n/' || n_nationkey s, 'label' p, n_name o from nation union select 'urn:r/' || r_regionkey, 'label', r_name from region")
@@ -227,36 +295,57 @@ def union_graph_query(spark, sf):
 
 @query("delete_point", "select 'urn:c/' || c_custkey s, 'urn:n/' || c_nationkey o from customer where c_nationkey <> 7")
 def delete_point(spark, sf):
-    t = triples(spark, sf, ("customer", "nation")).where(F.col("p") == P + "inNation")
-    return t.where((F.col("s") != "urn:n/7") & ~((F.col("o") == "urn:n/7") & (F.col("o_kind") != "lit"))).select("s", "o")
+    store = _store(spark, sf, ("customer", "nation"))
+    store.delete("urn:n/7")
+    return store.main().where((F.col("p") == P + "inNation")).select("s", "o")
 
 
-@query("point_catalog", "select 'urn:n/' || n_nationkey uri, string_agg(x, ';' order by x) suppliers, count(x) n from nation left join (select s_nationkey k, 'urn:s/' || s_suppkey x from supplier) on k = n_nationkey group by 1")
+@query("point_catalog", "select 'urn:n/' || n_nationkey uri, string_agg(x, ';' order by x) suppliers, count(x) n, case when n_nationkey % 2 = 0 then 'urn:u/' || n_regionkey end unit from nation left join (select s_nationkey k, 'urn:s/' || s_suppkey x from supplier) on k = n_nationkey group by n_nationkey, n_regionkey")
 def point_catalog(spark, sf):
-    t = triples(spark, sf, ("nation", "supplier"))
-    nations = t.where((F.col("p") == RDF_TYPE) & (F.col("o") == _t("nation"))).select(F.col("s").alias("uri"))
-    own = t.where(F.col("p") == P + "inNation").groupBy(F.col("o").alias("uri")).agg(F.array_sort(F.collect_set("s")).alias("all"))
-    joined = nations.join(own, "uri", "left")
-    return joined.select("uri", F.array_join("all", ";").alias("suppliers"), F.coalesce(F.when(F.col("all").isNotNull(), F.size("all")), F.lit(0)).cast("long").alias("n"))
+    """Nations as virtual points calculated from their suppliers, half of them with a unit, read from the store's catalogue."""
+    store, n = TripleStore(spark, V), table(spark, sf, "nation")
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    fact = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    uri = name("urn:n/", "n_nationkey")
+    of_nation = n.select(F.explode(F.array(fact(uri, V.type, F.lit(V.term("Stream"))), fact(uri, V.has_unit, F.when(F.col("n_nationkey") % 2 == 0, name("urn:u/", "n_regionkey"))))).alias("t")).select("t.*").where("o is not null")
+    sources = table(spark, sf, "supplier").select(name("urn:n/", "s_nationkey").alias("s"), F.lit(V.term("isCalculatedFrom")).alias("p"), name("urn:s/", "s_suppkey").alias("o"))
+    none = F.lit(None).cast("string")
+    store.triples = of_nation.unionByName(sources).select(F.lit("main").alias("g"), "s", "p", "o", F.lit("iri").alias("o_kind"), none.alias("o_datatype"), none.alias("o_lang"))
+    found = store.points()
+    return found.select("uri", F.when(F.size("sources") > 0, F.array_join("sources", ";")).alias("suppliers"), F.size("sources").cast("long").alias("n"), "unit")
 
 
 # --- series ------------------------------------------------------------------------------------------------------
 
 
-@query("series_range", f"with {_SERIES_SQL}, b as (select min(ts) lo from events) select point_uri, ts, \"value\" from series, b where event_type = 'click' and ts between lo + interval 1 day and lo + interval 9 day")
+_ORDER_SERIES = "select 'urn:c/' || o_custkey point_uri, o_orderdate ts, o_totalprice::varchar \"value\", o_orderkey seq from orders"
+
+
+def order_series(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select(F.concat(F.lit("urn:c/"), F.col("o_custkey").cast("string")).alias("point_uri"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").cast("string").alias("value"), F.col("o_orderkey").alias("seq"))
+
+
+_ORDER_SQL = f"o as ({_ORDER_SERIES})"
+
+
+@query("series_range", f"with {_SERIES_SQL}, b as (select date_trunc('second', min(ts)) lo from events) select point_uri, ts, \"value\" from series, b where ts between lo + interval 1 day and lo + interval 9 day")
 def series_range(spark, sf):
-    lo = table(spark, sf, "events").agg(F.min("ts")).first()[0]
     from datetime import timedelta
 
-    s = series(spark, sf).where("event_type = 'click'")
-    return s.where(F.col("ts").between(F.lit(lo + timedelta(days=1)).cast("timestamp_ntz"), F.lit(lo + timedelta(days=9)).cast("timestamp_ntz"))).select("point_uri", "ts", "value")
+    lo = table(spark, sf, "events").agg(F.min("ts")).first()[0].replace(microsecond=0)
+    rows = _series_store(spark, series(spark, sf)).frame()
+    return _plain(S.ranged(rows, (lo + timedelta(days=1)).isoformat(), (lo + timedelta(days=9)).isoformat() + "Z"), "ts")
 
 
 for _order in ("asc", "desc"):
 
-    @query(f"series_topk_{_order}", f"with {_SERIES_SQL} select point_uri, ts, \"value\" from series order by ts {_order}, event_id limit 25")
+    @query(f"series_topk_{_order}", f"with {_ORDER_SQL}, t as (select point_uri from o group by 1 having count(distinct ts) = count(*) order by count(*) desc, point_uri limit 1) select point_uri, ts, \"value\" from o join t using (point_uri) order by ts {_order} limit 5")
     def series_topk(spark, sf, order=_order):
-        return series(spark, sf).orderBy(F.col("ts").desc() if order == "desc" else F.col("ts"), "event_id").limit(25).select("point_uri", "ts", "value")
+        """The first samples of the busiest point whose times differ, by the store's scan."""
+        rows = order_series(spark, sf)
+        point = rows.groupBy("point_uri").agg(F.count("*").alias("n"), F.count_distinct("ts").alias("d")).where("n = d").orderBy(F.desc("n"), "point_uri").first().point_uri
+        return _plain(_series_store(spark, rows).scan(point, limit=5, order=order), "ts")
 
 
 @query("series_limit_per_point", f"with {_SERIES_SQL} select point_uri, ts, \"value\" from series qualify row_number() over (partition by point_uri order by ts) <= 3")
@@ -272,15 +361,25 @@ def latest_narrow(spark, sf):
 _TYPES_SQL = ", ".join(f"max(number) filter (event_type = '{t}') {t}" for t in ("click", "purchase", "signup", "view"))
 
 
-@query("latest_wide", f"with {_SERIES_SQL}, l as (select * from series qualify row_number() over (partition by point_uri order by ts desc) = 1) select user_id, {_TYPES_SQL} from l group by 1")
+_KINDS = ("click", "purchase", "signup", "view")
+_BY_TYPE_SQL = "k as (select 'urn:ev/' || event_type point_uri, ts, max(value) number from events group by 1, 2)"
+_WIDE_SQL = ", ".join(f"max(number) filter (point_uri = 'urn:ev/{t}') {t}" for t in _KINDS)
+
+
+def by_type(spark, sf) -> DataFrame:
+    """One series for each type of event, with the largest value of each time."""
+    e = table(spark, sf, "events").groupBy(F.concat(F.lit("urn:ev/"), "event_type").alias("point_uri"), "ts").agg(F.max("value").alias("value"))
+    return e
+
+
+@query("latest_wide", f"with {_BY_TYPE_SQL}, l as (select * from k qualify row_number() over (partition by point_uri order by ts desc) = 1) select ts \"time\", {_WIDE_SQL} from l group by 1")
 def latest_wide(spark, sf):
-    last = S.limited(series(spark, sf).select("point_uri", "ts", "user_id", "event_type", "number"), 1, "desc")
-    return last.groupBy("user_id").pivot("event_type", ["click", "purchase", "signup", "view"]).agg(F.max("number"))
+    return S.wide(S.limited(by_type(spark, sf), 1, "desc"), [f"urn:ev/{t}" for t in _KINDS])
 
 
-@query("wide_frame", f"with {_SERIES_SQL} select ts \"time\", {_TYPES_SQL} from series group by 1")
+@query("wide_frame", f"with {_BY_TYPE_SQL} select ts \"time\", {_WIDE_SQL} from k group by 1")
 def wide_frame(spark, sf):
-    return series(spark, sf).groupBy(F.col("ts").alias("time")).pivot("event_type", ["click", "purchase", "signup", "view"]).agg(F.max("number"))
+    return S.wide(by_type(spark, sf), [f"urn:ev/{t}" for t in _KINDS])
 
 
 @query("narrow_frame", f"with {_SERIES_SQL} select ts \"time\", \"value\", string_split(point_uri, '/')[-1] id from series where user_id % 2 = 0")
@@ -305,14 +404,6 @@ def series_info(spark, sf):
     return series(spark, sf).groupBy("point_uri").agg(F.count("*").alias("row_count"), F.min("ts").alias("earliest"), F.max("ts").alias("latest"))
 
 
-_ORDER_SERIES = "select 'urn:c/' || o_custkey point_uri, o_orderdate ts, o_totalprice::varchar \"value\", o_orderkey seq from orders"
-
-
-def order_series(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.select(F.concat(F.lit("urn:c/"), F.col("o_custkey").cast("string")).alias("point_uri"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").cast("string").alias("value"), F.col("o_orderkey").alias("seq"))
-
-
 @query("upsert_lastwins", f"with o as ({_ORDER_SERIES}) select point_uri, ts, arg_max(\"value\", seq) \"value\" from o group by 1, 2")
 def upsert_lastwins(spark, sf):
     return S.last_write_wins(order_series(spark, sf))
@@ -325,12 +416,13 @@ def bulk_merge(spark, sf):
     return S.last_write_wins(o.unionByName(new))
 
 
-@query("replace_rows", f"with o as ({_ORDER_SERIES}), g as (select distinct point_uri from o where seq % 5 = 0) select point_uri, count(*) n from o where point_uri not in (from g) group by 1 union all select point_uri, 0 from g")
+@query("replace_rows", f"with {_ORDER_SQL}, g as (select distinct point_uri from o where seq % 5 = 0), n as (select point_uri, ts, arg_max(\"value\", seq) \"value\" from o where seq % 5 = 0 group by 1, 2) select * from n union all select point_uri, ts, arg_max(\"value\", seq) from o where point_uri not in (from g) group by 1, 2")
 def replace_rows(spark, sf):
+    """Points with any of the chosen rows keep these only; the store replaces them as a whole."""
     o = order_series(spark, sf)
-    gone = o.where("seq % 5 = 0").select("point_uri").distinct()
-    left = o.join(gone, "point_uri", "left_anti").groupBy("point_uri").agg(F.count("*").alias("n"))
-    return left.unionByName(gone.withColumn("n", F.lit(0).cast("long")))
+    store = _series_store(spark, S.last_write_wins(o))
+    store.merge(o.where("seq % 5 = 0").withColumn("ts", F.col("ts").cast("timestamp")), replace=True)
+    return _plain(store.frame().select("point_uri", "ts", "value"), "ts")
 
 
 @query("stream_handles", f"with {_SERIES_SQL} select distinct sha1(point_uri)[1:10] handle, point_uri uri from series")
@@ -346,12 +438,13 @@ def resolve_handle(spark, sf):
     return wanted.join(known, "handle", "left").select("handle", F.coalesce("uri", "handle").alias("resolved"))
 
 
-@query("bindings_series", f"with {_SERIES_SQL} select n_name nation, count(*) n, max(number) top from series join customer on c_custkey = user_id join nation on c_nationkey = n_nationkey group by 1")
+@query("bindings_series", "select 'c' || c_custkey id, ts \"time\", value from customer join events on user_id = c_custkey where c_nationkey = 3")
 def bindings_series(spark, sf):
-    found = _bindings(spark, sf, Pattern().with_node(_t("customer"), "c").with_node(_t("nation"), "n").with_edge(0, 1), ("customer", "nation"), ["c", "n"])
-    s = series(spark, sf).withColumn("c", F.concat(F.lit("urn:c/"), F.col("user_id").cast("string")))
-    names = triples(spark, sf, ("nation",)).where(F.col("p") == P + "label").select(F.col("s").alias("n"), F.col("o").alias("nation"))
-    return s.join(found, "c").join(names, "n").groupBy("nation").agg(F.count("*").alias("n"), F.max("number").alias("top"))
+    """The series of all customers of one nation, found by pattern and fetched by the query's own frame."""
+    e = table(spark, sf, "events").select(F.concat(F.lit("urn:c/"), F.col("user_id").cast("string")).alias("point_uri"), "ts", F.col("value").cast("string").alias("value"))
+    source = _Source(spark, _store(spark, sf, ("customer", "nation")), _series_store(spark, e))
+    q = Query(source).find_all_data(_class=_t("customer"), filters={P + "inNation": "urn:n/3"}, alias="c")
+    return _plain(q.dataframe(cast_value="float"), "time").select(F.concat(F.lit("c"), "id").alias("id"), "time", "value")
 
 
 # --- scalar rules ------------------------------------------------------------------------------------------------
@@ -388,7 +481,7 @@ def ts_parse(spark, sf):
 
 @query("payload_decode", "select event_id, len(json_keys(props)) n_keys from events")
 def payload_decode(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.size(decoded("props")).cast("long").alias("n_keys"))
+    return with_payload(table(spark, sf, "events").select("event_id", "props"), "props", "found").select("event_id", F.size("found").cast("long").alias("n_keys"))
 
 
 @query("unit_convert", "select event_id, (value + 459.67::double) * 0.5555555555555556::double / 1.0::double - 273.15::double celsius from events")
@@ -436,21 +529,25 @@ def sensor_one_to_one(spark, sf):
 def dirty_propagation(spark, sf):
     """Everything that depends on one changed node, directly or not: backward reachability from it."""
     t = triples(spark, sf).where((F.col("o_kind") == "iri") & ~F.col("p").isin(RDF_TYPE, V.external_reference))
-    back = t.select(F.col("o").alias("s"), "p", F.col("s").alias("o"), "o_kind")
     seed = spark.createDataFrame([("urn:n/3",)], "src string")
-    return reachable(back, seed, 3).select(F.col("dst").alias("s")).union(seed.toDF("s")).distinct()
+    return closure(t.select(F.col("o").alias("src"), F.col("s").alias("dst")), seed).select(F.col("dst").alias("s")).union(seed.toDF("s")).distinct()
 
 
-@query("stale_difference", "select 'urn:c/' || c_custkey uri from customer where c_custkey not in (select o_custkey from orders)")
+@query("stale_difference", "select 'urn:c/' || c_custkey uri from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)")
 def stale_difference(spark, sf):
     name = lambda c: F.concat(F.lit("urn:c/"), F.col(c).cast("string")).alias("uri")
-    return table(spark, sf, "customer").select(name("c_custkey")).join(table(spark, sf, "orders").select(name("o_custkey")), "uri", "left_anti")
+    return table(spark, sf, "customer").select(name("c_custkey")).join(table(spark, sf, "orders").where("o_totalprice > 250000").select(name("o_custkey")), "uri", "left_anti")
+
+
+_DAY_SQL = "d as (select 'urn:ev/' || event_type point_uri, date_trunc('day', ts) ts, max(value) v from events group by 1, 2)"
 
 
-@query("aligned_rows", f"with {_SERIES_SQL}, w as (select user_id, date_trunc('day', ts) d, {_TYPES_SQL} from series group by 1, 2) select user_id, d from w where click is not null and \"view\" is not null")
+@query("aligned_rows", f"with {_DAY_SQL} select ts, max(v) filter (point_uri = 'urn:ev/click') click, max(v) filter (point_uri = 'urn:ev/signup') signup from d group by 1 having click is not null and signup is not null")
 def aligned_rows(spark, sf):
-    w = series(spark, sf).where(F.col("event_type").isin("click", "view")).groupBy("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("d")).agg(F.count_distinct("event_type").alias("n"))
-    return w.where("n = 2").select("user_id", "d")
+    """Days on which both points have reported, as wide rows."""
+    day = F.date_trunc("day", F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("ts")
+    days = table(spark, sf, "events").groupBy(F.concat(F.lit("urn:ev/"), "event_type").alias("point_uri"), day).agg(F.max("value").alias("value"))
+    return complete_rows(days, ["urn:ev/click", "urn:ev/signup"]).select("ts", F.col("`urn:ev/click`").alias("click"), F.col("`urn:ev/signup`").alias("signup"))
 
 
 @query("last_of_window", f"with {_SERIES_SQL} select point_uri, date_trunc('day', ts) d, arg_max(\"value\", ts) \"value\" from series group by 1, 2")
@@ -464,4 +561,5 @@ def last_of_window(spark, sf):
 def text_match(spark, sf):
     """Market segments and order priorities against a small lexicon; scores have no SQL form."""
     lex = Lexicon([Concept("urn:k/auto", "class", "Automobile", ("car", "automobiles")), Concept("urn:k/build", "class", "Building"), Concept("urn:k/home", "class", "Household"), Concept("urn:k/mach", "class", "Machinery", ("machines",))])
-    return match_all(table(spark, sf, "customer"), lex, "c_mktsegment", "class")
+    both = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("text")).unionByName(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("text")))
+    return match_all(both, lex, "text", "class")

@@ -466,7 +466,7 @@ class _Planner:
             return F.col(f"`{e[1]}`") if e[1] in df.columns else F.lit(None).cast("string")
         if e[0] == "call":
             args = [self.text(a, df) for a in e[2]] if e[2] != ["*"] else []
-            simple = {"STR": lambda a: a, "UCASE": F.upper, "LCASE": F.lower, "STRLEN": F.char_length, "ABS": lambda a: F.abs(a.try_cast("double")), "ROUND": lambda a: F.round(a.try_cast("double")), "CONCAT": F.concat, "COALESCE": F.coalesce}
+            simple = {"STR": lambda a: a, "UCASE": F.upper, "LCASE": F.lower, "STRLEN": F.char_length, "ABS": lambda a: F.abs(a.try_cast("double")), "ROUND": lambda a: F.round(a.try_cast("double")), "CONCAT": F.concat, "COALESCE": F.coalesce, "STRAFTER": lambda a, b: F.when(a.contains(b), F.substring(a, F.position(b, a) + F.char_length(b), F.char_length(a))).otherwise("")}
             if e[1] in simple:
                 return simple[e[1]](*args).cast("string")
             if e[1] == "IF":

@@ -29,7 +29,7 @@ def specifications(triples: DataFrame, vocab: Vocabulary) -> DataFrame:
     return out.where(F.btrim("topic", F.lit('" ')) != "").select("point_uri", "ref", text("broker", "localhost").alias("broker"), text("port", "1883").cast("int").alias("port"), F.btrim("topic", F.lit('" ')).alias("topic"), text("time_key", "Timestamp").alias("time_key"), text("value_key", "Value").alias("value_key"))
 
 
-@F.udf(T.MapType(T.StringType(), T.StringType()))
+@F.udf(T.MapType(T.StringType(), T.StringType()), useArrow=True)
 def _literal(payload: str | None) -> dict | None:
     try:
         found = ast.literal_eval(payload)
@@ -38,16 +38,22 @@ def _literal(payload: str | None) -> dict | None:
     return {str(k): None if v is None else str(v) for k, v in found.items()} if isinstance(found, dict) else None
 
 
-def decoded(payload: str = "payload", literals: bool = True):
-    """A payload as a map: JSON objects in the JVM, Python literals only for rows that aren't JSON. Null if neither."""
+def with_payload(messages: DataFrame, payload: str = "payload", out: str = "_map", literals: bool = True) -> DataFrame:
+    """``messages`` with each payload as a map, null if it can't be read.
+
+    JSON objects are read in the JVM. Only rows that aren't JSON go to Python, in a branch of their own.
+    """
     json = F.from_json(payload, "map<string,string>")
-    return F.coalesce(json, F.when(json.isNull(), _literal(F.col(payload)))) if literals else json
+    known = messages.withColumn(out, json)
+    if not literals:
+        return known
+    return known.where(F.col(out).isNotNull()).unionByName(messages.where(json.isNull()).withColumn(out, _literal(F.col(payload))))
 
 
 def samples(messages: DataFrame, specs: DataFrame, literals: bool = True) -> tuple[DataFrame, DataFrame]:
     """``point_uri, ts, value`` of every message for every point on its topic, and the messages that can't be decoded."""
     arrived = F.col("arrived") if "arrived" in messages.columns else F.current_timestamp()
-    known = messages.withColumn("_at", arrived).withColumn("_map", decoded("payload", literals))
+    known = with_payload(messages.withColumn("_at", arrived), "payload", "_map", literals)
     good = known.where(F.col("_map").isNotNull()).join(specs.select("topic", "point_uri", "time_key", "value_key"), "topic")
     at = F.element_at("_map", F.col("time_key"))
     return good.select("point_uri", F.when(at.isNull(), F.col("_at")).otherwise(parsed_time(at)).alias("ts"), F.element_at("_map", F.col("value_key")).alias("value")).where("ts is not null"), known.where(F.col("_map").isNull()).select("topic", "payload")
