@@ -15,9 +15,11 @@ MAX_SHIPPED_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The folder that all executors share (``spark.checkpoint.dir``); where it is unset, a temporary one in local mode only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext._jsc.sc().getCheckpointDir().getOrElse(None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="rillgraph-")
         spark.sparkContext.setCheckpointDir(found)
     return found
