@@ -16,8 +16,10 @@ SETTINGS = {
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names; set a temporary one only where there is none."""
+    """Keep the folder the cluster names; where there is none, set a temporary one in local mode only."""
     if not spark.sparkContext.getConf().get("spark.checkpoint.dir") and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillgraph-"))
 
 
