@@ -14,8 +14,8 @@ ball of a whole fingerprint. So ``near_groups`` takes fingerprints of distinct p
 several of them by hashes of their own, and cuts them into parts of 32 bits. Texts that are within the radius in any
 part meet at a variant of that part. There a text is paired with the first and the three before it, those whose own
 part is the variant first, so pairs grow with the rows. Variants that a sample shows to be frequent are dealt over
-salted sub-groups, where a text is paired with the first and the one before it, and the heads of a variant's sub-groups
-with the first of them. Every pair is verified by the Jaccard similarity of the whole texts'
+salted sub-groups, where a text is paired with the first, and the heads of sub-groups whose own
+part the variant is with the first head. Every pair is verified by the Jaccard similarity of the whole texts'
 shingles, so nothing is linked wrongly: each text's nearest partners first, then those pairs that would join two groups; the README has the recall. By chance, a variant has N * 33 / 2**32 visitors from
 N distinct texts, under one up to 10**8; larger tables want more parts of more bits (``prints``, ``part_bits``).
 
@@ -175,9 +175,11 @@ def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity:
     # in frequent variants the same few texts come first, so a text's partners stay few however many variants it has
     in_order = Window.partitionBy("variant", "salt").orderBy(F.when(F.col("hot"), F.lit(True)).otherwise(F.col("own")).desc(), "node")
     beside = [F.first("node").over(in_order).alias("first"), *[F.lag("node", i).over(in_order).alias(f"l{i}") for i in (1, 2, 3)]]
-    met = saved(met.select("variant", "hot", "node", *beside).where("l1 is not null or hot"), "variants-met")
-    heads = met.where("hot and l1 is null").select("node", F.first("node").over(Window.partitionBy("variant").orderBy("node")).alias("first"))
-    sides = F.when(F.col("hot"), F.array("first", "l1")).otherwise(F.array("first", "l1", "l2", "l3"))
+    met = saved(met.select("variant", "hot", "own", "node", *beside).where("l1 is not null or hot"), "variants-met")
+    # a text has few parts of its own but many variants, and in a frequent one its own parts are enough to meet the others
+    first = F.first("node").over(Window.partitionBy("variant").orderBy("node")).alias("first")
+    heads = met.where("hot and l1 is null").select("own", "node", first).where("own")
+    sides = F.when(F.col("hot"), F.array("first")).otherwise(F.array("first", "l1", "l2", "l3"))
     both = met.select("node", F.explode(sides).alias("x")).unionByName(heads.select("node", F.col("first").alias("x"))).where("x <> node")
     edges = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
     # unlike texts that met by chance differ in nearly half of all bits
