@@ -249,7 +249,8 @@ def _trix(text: str) -> list[Triple]:
     return out
 
 
-_READERS = {"turtle": lambda t: _Turtle(t).parse(), "ttl": lambda t: _Turtle(t).parse(), "nt": lambda t: _Turtle(t).parse(), "xml": _rdf_xml, "trix": _trix}
+#: Of N3, the part that is Turtle can be read; formulas and rules raise ``ValueError``.
+_READERS = {"turtle": lambda t: _Turtle(t).parse(), "ttl": lambda t: _Turtle(t).parse(), "n3": lambda t: _Turtle(t).parse(), "nt": lambda t: _Turtle(t).parse(), "xml": _rdf_xml, "trix": _trix}
 
 
 def parse(text: str, format: str = "turtle", scoped: bool = False) -> list[Triple]:
