@@ -11,11 +11,12 @@ are deduplicated, verified by their distance and joined to components.
 
 Alike texts. Texts of which a fifth of the five-word shingles differ are ten and more bits apart in 64, too far for the
 ball of a whole fingerprint. So ``near_groups`` takes fingerprints of distinct pairs of words, which edits change less,
-several of them by hashes of their own, and cuts them into parts of 32 bits. Texts that are within the radius in any
-part meet at a variant of that part. There a text is paired with the first and the three before it, those whose own
-part is the variant first, so pairs grow with the rows. Variants that a sample shows to be frequent are dealt over
-salted sub-groups, where a text is paired with the first, and the heads of sub-groups whose own
-part the variant is with the first head. Every pair is verified by the Jaccard similarity of the whole texts'
+several of them by hashes of their own, and cuts them into parts of 32 bits. First every text is
+paired with the smallest one that any of its parts is equal to; what is alike becomes a team, which most of a large group
+does at once. Then texts that are within the radius in any part meet at a variant of that part, where the first of each
+team is paired with the first text and the one before it, so pairs grow with the rows. Variants that a sample shows to
+be frequent are dealt over salted sub-groups, whose heads meet in the same way. Pairs whose fingerprints of five-word
+shingles differ in more bits than alike texts do, by four standard errors, are left out. Every pair is verified by the Jaccard similarity of the whole texts'
 shingles, so nothing is linked wrongly: each text's nearest partners first, then those pairs that would join two groups; the README has the recall. By chance, a variant has N * 33 / 2**32 visitors from
 N distinct texts, under one up to 10**8; larger tables want more parts of more bits (``prints``, ``part_bits``).
 
@@ -28,6 +29,7 @@ by ``fingerprints``; taken names raise ``ValueError``. No rows: no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -110,16 +112,21 @@ SAMPLED, HOT_SAMPLED = 65_536, 16
 ROUNDS = 3
 
 
-def pair_prints(text: str | None, prints: int) -> list[int]:
-    """``prints`` fingerprints of a text's distinct pairs of neighbouring words, as signed 64-bit numbers."""
+def word_prints(text: str | None, sizes: list[int]) -> list[int]:
+    """For each of ``sizes`` a fingerprint of a text's distinct runs of so many words, by a hash of its own, as signed 64-bit numbers."""
     own = (text or "").encode("utf-8", "replace").lower().split()
     if not own:
-        return [0] * prints
-    pairs = {xxh64_intdigest(a + b" " + b, 42) for a, b in zip(own, own[1:], strict=False)} or {xxh64_intdigest(own[0], 42)}
-    base = np.fromiter(pairs, np.uint64, len(pairs))
+        return [0] * len(sizes)
+    joined = b" ".join(own)
+    ends = list(accumulate(len(w) + 1 for w in own))
+    runs: dict[int, np.ndarray] = {}
+    for n in set(sizes):
+        size = min(n, len(own))
+        spans = zip([0, *ends[:-size]], ends[size - 1 :], strict=True)
+        runs[n] = np.unique(np.fromiter((xxh64_intdigest(joined[s : e - 1], 42) for s, e in spans), np.uint64))
     out = []
-    for k in range(prints):
-        h = base + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # splitmix: another hash for each print
+    for k, n in enumerate(sizes):
+        h = runs[n] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # splitmix: another hash for each print
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(31)
@@ -140,55 +147,70 @@ def _text_of(text: str) -> Column:
     return F.xxhash64(ascii_lower(F.col(text)))
 
 
+def _bits_apart(similarity: float, bits: int) -> int:
+    """How many of the bits may differ in alike texts: what is expected at ``similarity``, and four standard errors."""
+    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
+    p = math.acos(min(1.0, max(0.0, cosine))) / math.pi
+    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
+
+
+def _parts(prints: DataFrame, part_bits: int) -> DataFrame:
+    """The columns of ``prints`` that aren't fingerprints, and ``part, bits`` for every part of these."""
+    names = [c for c in prints.columns if c.startswith("p")]
+    cuts = [(n, at) for n in names for at in range(0, 64 - part_bits + 1, part_bits)]
+    parts = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(n, at).bitwiseAND(F.lit((1 << part_bits) - 1).cast("long")).alias("bits")) for i, (n, at) in enumerate(cuts)]
+    return prints.select(*[c for c in prints.columns if c not in names], F.inline(F.array(*parts)))
+
+
 def _variants(prints: DataFrame, part_bits: int) -> DataFrame:
-    """``node, variant, own``: every part of a text's fingerprints and the part's changes by one bit."""
-    n = len([c for c in prints.columns if c.startswith("p")])
-    parts = []
-    for i in range(n):
-        for at in range(0, 64 - part_bits + 1, part_bits):
-            parts.append(F.struct(F.lit(len(parts)).alias("part"), F.shiftrightunsigned(f"p{i}", at).bitwiseAND(F.lit((1 << part_bits) - 1).cast("long")).alias("bits")))
+    """The same columns and ``variant``: every part of a text's fingerprints and the part's changes by one bit."""
     masks_ = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(part_bits)])
-    by_part = prints.select("node", F.inline(F.array(*parts)))
-    every = by_part.select("node", "part", "bits", F.explode(masks_).alias("mask"))
-    return every.select("node", F.xxhash64("part", F.col("bits").bitwiseXOR(F.col("mask"))).alias("variant"), (F.col("mask") == 0).alias("own"))
+    every = _parts(prints, part_bits).withColumn("mask", F.explode(masks_))
+    return every.withColumn("variant", F.xxhash64("part", F.col("bits").bitwiseXOR(F.col("mask")))).drop("part", "bits", "mask")
 
 
-def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity: float = 0.8, prints: int = 3, part_bits: int = 32) -> DataFrame:
-    """``a, b``: hashes of texts (A-Z lower-cased) that are alike, as many pairs as the groups need."""
-    spark = df.sparkSession
-    names = [f"p{i}" for i in range(prints)]
+def _by_equal_parts(known: DataFrame, part_bits: int) -> DataFrame:
+    """``a, b``: every text with the smallest one that any of its parts is equal to. One pair a text at most."""
+    own = _parts(known, part_bits).select("node", F.xxhash64("part", "bits").alias("own"))
+    least = own.groupBy("own").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("own", "least")
+    return own.join(least, "own").groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [pair_prints(t, prints) for t in python_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(prints))], names=["node", *names])
 
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ["node", *names]])
-    known = saved(df.select(_text_of(text).alias("node"), F.col(text).alias("text")).mapInArrow(run, schema).groupBy("node").agg(*[F.min(n).alias(n) for n in names]), "prints")
+def _across(known: DataFrame, part_bits: int) -> DataFrame:
+    """``a, b``: texts of different teams that meet at a variant, from ``node, team`` and the fingerprints."""
+    sub_groups = 16 * int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = max(1, known.count() // SAMPLED)
     sample = known.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
     # at most SAMPLED * variants of a text / HOT_SAMPLED rows, whatever the input
     hot = saved(_variants(sample, part_bits).groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLED).select("variant", F.lit(True).alias("hot")), "hot-variants")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(16 * int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")).otherwise(0)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(sub_groups)).cast("int")).otherwise(0)
     met = _variants(known, part_bits).join(F.broadcast(hot) if hot.count() <= 2_000_000 else hot, "variant", "left").withColumn("salt", salt)
 
-    # in frequent variants the same few texts come first, so a text's partners stay few however many variants it has
-    in_order = Window.partitionBy("variant", "salt").orderBy(F.when(F.col("hot"), F.lit(True)).otherwise(F.col("own")).desc(), "node")
-    beside = [F.first("node").over(in_order).alias("first"), *[F.lag("node", i).over(in_order).alias(f"l{i}") for i in (1, 2, 3)]]
-    met = saved(met.select("variant", "hot", "own", "node", *beside).where("l1 is not null or hot"), "variants-met")
-    # a text has few parts of its own but many variants, and in a frequent one its own parts are enough to meet the others
-    first = F.first("node").over(Window.partitionBy("variant").orderBy("node")).alias("first")
-    heads = met.where("hot and l1 is null").select("own", "node", first).where("own")
-    sides = F.when(F.col("hot"), F.array("first")).otherwise(F.array("first", "l1", "l2", "l3"))
-    both = met.select("node", F.explode(sides).alias("x")).unionByName(heads.select("node", F.col("first").alias("x"))).where("x <> node")
-    edges = both.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    # unlike texts that met by chance differ in nearly half of all bits
-    of = lambda side: known.select(F.col("node").alias(side), *[F.col(n).alias(f"{side}{n}") for n in names])
-    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
-    edges = saved(edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= 20 * prints), "near-candidates")
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = df.select(_text_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "node", "left_semi")
-    texts = saved(texts.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+    def beside(*place: str) -> list[Column]:
+        # teams are side by side, so that the first of each knows members of those before it
+        in_order = Window.partitionBy(*place).orderBy("team", "node")
+        one = F.struct("team", "node")
+        return [F.first(one).over(in_order).alias("first"), F.lag(one).over(in_order).alias("last")]
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        others = F.array_distinct(F.array("first", "last"))
+        return rows.where("last.team <> team").select("node", F.explode(others).alias("x")).select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b"))
+
+    met = met.select("variant", "hot", "team", "node", *beside("variant", "salt")).where("last.team <> team or (hot and last is null)")
+    met = saved(met, "variants-met")
+    heads = met.where("hot and last is null").select("team", "node", *beside("variant"))
+    return pairs(met).unionByName(pairs(heads)).distinct()
+
+
+def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity: float = 0.8, prints: int = 3, part_bits: int = 32) -> DataFrame:
+    """``a, b``: hashes of texts (A-Z lower-cased) that are alike, as many pairs as the groups need."""
+    index, sketch = [f"p{i}" for i in range(prints)], [f"q{i}" for i in range(prints)]
+    names, sizes = index + sketch, [2] * prints + [words] * prints
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [word_prints(t, sizes) for t in python_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(len(names)))], names=["node", *names])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, set[bytes]] = (None, set())
@@ -202,25 +224,40 @@ def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity:
                 alike.append(common >= similarity * (len(last[1]) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = df.select(_text_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "node", "left_semi")
+        return saved(texts.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+
+    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         sided = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
         return saved(sided.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "near-verified")
 
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ["node", *names]])
+    known = saved(df.select(_text_of(text).alias("node"), F.col(text).alias("text")).mapInArrow(run, schema).groupBy("node").agg(*[F.min(n).alias(n) for n in names]), "prints")
+    equal = saved(_by_equal_parts(known.select("node", *index), part_bits), "near-equal-parts")
+    found = verified(equal, texts_of(equal))
+    teams = known.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("team"), *index)
+    edges = _across(saved(teams, "near-teams"), part_bits)
+    of = lambda side: known.select(F.col("node").alias(side), *[F.col(n).alias(f"{side}{n}") for n in sketch])
+    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in sketch), F.lit(0))
+    most = _bits_apart(similarity, 64 * prints)
+    left = saved(edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "near-candidates")
+    texts = texts_of(left)
+
     # rounds that verify each text's nearest partner outside its group so far, then all pairs that still would join two
-    found, left = None, edges
     for _ in range(ROUNDS):
+        if left.isEmpty():
+            return found
         either = left.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))), "apart")
         nearest = either.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
         nearest = saved(nearest, "near-next")
-        new = verified(nearest)
-        found = new if found is None else found.unionByName(new)
+        found = found.unionByName(verified(nearest, texts))
         group = components(found)
         of_side = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
         left = left.join(nearest, ["a", "b"], "left_anti").join(of_side("a"), "a", "left").join(of_side("b"), "b", "left")
         left = saved(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "apart"), "near-left")
-        if left.isEmpty():
-            return found
-    return found.unionByName(verified(left.select("a", "b")))
+    return found.unionByName(verified(left, texts))
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
