@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash and meet-in-the-middle ball hashing.
+"""Near-duplicates by SimHash and meet-in-the-middle ball hashing, and by shared shingles.
 
 ``groups`` links fingerprints within a radius, ``near_groups`` texts whose word shingles are alike enough.
 
@@ -9,16 +9,15 @@ radius of everything else there, so an edge from the smallest fingerprint to eac
 variant has at most as many visitors as a ball has points, 65 for radius 2, however many documents there are. The edges
 are deduplicated, verified by their distance and joined to components.
 
-Alike texts. Texts of which a fifth of the five-word shingles differ are ten and more bits apart in 64, too far for the
-ball of a whole fingerprint. So ``near_groups`` takes fingerprints of distinct pairs of words, which edits change less,
-several of them by hashes of their own, and cuts them into parts of 32 bits. First every text is
-paired with the smallest one that any of its parts is equal to; what is alike becomes a team, which most of a large group
-does at once. Then texts that are within the radius in any part meet at a variant of that part, where the first of each
-team is paired with the first text and the one before it, so pairs grow with the rows. Variants that a sample shows to
-be frequent are dealt over salted sub-groups, whose heads meet in the same way. Pairs whose fingerprints of five-word
-shingles differ in more bits than alike texts do, by four standard errors, are left out. Every pair is verified by the Jaccard similarity of the whole texts'
-shingles, so nothing is linked wrongly: each text's nearest partners first, then those pairs that would join two groups; the README has the recall. By chance, a variant has N * 33 / 2**32 visitors from
-N distinct texts, under one up to 10**8; larger tables want more parts of more bits (``prints``, ``part_bits``).
+Alike texts. ``near_groups`` links texts whose distinct five-word shingles have a Jaccard similarity of 0.8, by an exact
+join without a cap. Of n shingles in any order that all texts share, two alike texts have one in common among the first
+n - ceil(0.8 n) + 1 of each. Here those come first that a sample of texts doesn't show to be frequent, so few texts meet;
+the sample decides on the cost alone. All texts that meet at a shingle belong to the star of the smallest text there, and
+a pair that meets anywhere is together in a star, so the rows grow with the shingles. In stars of up to ``SMALL_STAR``
+texts every pair is compared: first sizes and counts of shingles by slots, which bound what two texts can share, then the
+texts. Larger stars are cut into blocks, every two blocks meet in a task, and the task counts what all its pairs share by
+matrix products and returns alike pairs that span the same groups, fewer than it has texts. So no link is lost and no
+pair is linked wrongly. In a star of m texts m**2 / 2 pairs are counted, dealt over tasks, but never made as rows.
 
 Defined cases. Null text counts as empty. No word: fingerprint 0, linked like any other; fewer words than a shingle: the
 whole sequence is the only one. Texts are read whole. A null identifier never names a component unless all its
@@ -29,7 +28,6 @@ by ``fingerprints``; taken names raise ``ValueError``. No rows: no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -40,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import ascii_lower, free_name, python_texts, saved
+from .common import ascii_lower, free_name, python_texts, saved, shipped
 from .components import components
 
 
@@ -105,36 +103,14 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
     return docs.join(of, "simhash").select("doc_id", "simhash", "component_id")
 
 
-#: Texts that frequent variants are looked for in, and how many of them make a variant frequent.
-SAMPLED, HOT_SAMPLED = 65_536, 16
+#: Texts whose shingles are counted to find the frequent ones, and the most of these that are sent to the workers (12 bytes each).
+SAMPLED, MAX_LISTED = 16_384, 500_000
 
-#: Rounds before all pairs that are left are verified. Groups grow fast, so that few pairs are.
-ROUNDS = 3
+#: Slots of the counts that bound how much two texts can share.
+COUNT_SLOTS = 256
 
-
-def word_prints(text: str | None, sizes: list[int]) -> list[int]:
-    """For each of ``sizes`` a fingerprint of a text's distinct runs of so many words, by a hash of its own, as signed 64-bit numbers."""
-    own = (text or "").encode("utf-8", "replace").lower().split()
-    if not own:
-        return [0] * len(sizes)
-    joined = b" ".join(own)
-    ends = list(accumulate(len(w) + 1 for w in own))
-    runs: dict[int, np.ndarray] = {}
-    for n in set(sizes):
-        size = min(n, len(own))
-        spans = zip([0, *ends[:-size]], ends[size - 1 :], strict=True)
-        runs[n] = np.unique(np.fromiter((xxh64_intdigest(joined[s : e - 1], 42) for s, e in spans), np.uint64))
-    out = []
-    for k, n in enumerate(sizes):
-        h = runs[n] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))  # splitmix: another hash for each print
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        h ^= h >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 16):
-            ones += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0]))
-    return out
+#: Stars of more texts are compared in blocks of at most so many texts and shingles.
+SMALL_STAR, BLOCK_TEXTS, BLOCK_SHINGLES = 16, 2_048, 4_000_000
 
 
 def shingles(text: str | None, words: int) -> set[bytes]:
@@ -143,74 +119,135 @@ def shingles(text: str | None, words: int) -> set[bytes]:
     return {b" ".join(own[i : i + words]) for i in range(max(1, len(own) - words + 1))}
 
 
-def _text_of(text: str) -> Column:
-    return F.xxhash64(ascii_lower(F.col(text)))
-
-
-def _bits_apart(similarity: float, bits: int) -> int:
-    """How many of the bits may differ in alike texts: what is expected at ``similarity``, and four standard errors."""
-    cosine = 2 * similarity / (1 + similarity)  # of two sets of one size
-    p = math.acos(min(1.0, max(0.0, cosine))) / math.pi
-    return min(bits, math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p))))
-
-
-def _parts(prints: DataFrame, part_bits: int) -> DataFrame:
-    """The columns of ``prints`` that aren't fingerprints, and ``part, bits`` for every part of these."""
-    names = [c for c in prints.columns if c.startswith("p")]
-    cuts = [(n, at) for n in names for at in range(0, 64 - part_bits + 1, part_bits)]
-    parts = [F.struct(F.lit(i).alias("part"), F.shiftrightunsigned(n, at).bitwiseAND(F.lit((1 << part_bits) - 1).cast("long")).alias("bits")) for i, (n, at) in enumerate(cuts)]
-    return prints.select(*[c for c in prints.columns if c not in names], F.inline(F.array(*parts)))
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The XXH64 of each of ``shingles``, ascending."""
+    own = (text or "").encode("utf-8", "replace").lower().split()
+    joined = b" ".join(own)
+    if len(own) <= words:
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in own))
+    spans = zip([0, *ends[:-words]], ends[words - 1 :], strict=True)
+    return np.unique(np.fromiter((xxh64_intdigest(joined[s : e - 1], 42) for s, e in spans), np.uint64, len(own) - words + 1))
 
 
-def _variants(prints: DataFrame, part_bits: int) -> DataFrame:
-    """The same columns and ``variant``: every part of a text's fingerprints and the part's changes by one bit."""
-    masks_ = F.array(F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(part_bits)])
-    every = _parts(prints, part_bits).withColumn("mask", F.explode(masks_))
-    return every.withColumn("variant", F.xxhash64("part", F.col("bits").bitwiseXOR(F.col("mask")))).drop("part", "bits", "mask")
+def _text_of(text: str) -> Column:
+    return F.xxhash64(ascii_lower(F.col(text)))
 
 
-def _by_equal_parts(known: DataFrame, part_bits: int) -> DataFrame:
-    """``a, b``: every text with the smallest one that any of its parts is equal to. One pair a text at most."""
-    own = _parts(known, part_bits).select("node", F.xxhash64("part", "bits").alias("own"))
-    least = own.groupBy("own").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("own", "least")
-    return own.join(least, "own").groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
+def _least_shared(a, b, similarity: float):
+    """How many shingles sets of these sizes share at least if they are alike; rounded so that no alike pair is lost."""
+    return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
 
 
-def _across(known: DataFrame, part_bits: int) -> DataFrame:
-    """``a, b``: texts of different teams that meet at a variant, from ``node, team`` and the fingerprints."""
-    sub_groups = 16 * int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = max(1, known.count() // SAMPLED)
-    sample = known.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0)
-    # at most SAMPLED * variants of a text / HOT_SAMPLED rows, whatever the input
-    hot = saved(_variants(sample, part_bits).groupBy("variant").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_SAMPLED).select("variant", F.lit(True).alias("hot")), "hot-variants")
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(sub_groups)).cast("int")).otherwise(0)
-    met = _variants(known, part_bits).join(F.broadcast(hot) if hot.count() <= 2_000_000 else hot, "variant", "left").withColumn("salt", salt)
+def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with one value of ``name``, from rows that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(name).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[-1].column(name)[0].as_py() != int(key[s]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def beside(*place: str) -> list[Column]:
-        # teams are side by side, so that the first of each knows members of those before it
-        in_order = Window.partitionBy(*place).orderBy("team", "node")
-        one = F.struct("team", "node")
-        return [F.first(one).over(in_order).alias("first"), F.lag(one).over(in_order).alias("last")]
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        others = F.array_distinct(F.array("first", "last"))
-        return rows.where("last.team <> team").select("node", F.explode(others).alias("x")).select(F.least("x.node", "node").alias("a"), F.greatest("x.node", "node").alias("b"))
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that several texts of a sample have, ascending, and the rank of each by frequency."""
 
-    met = met.select("variant", "hot", "team", "node", *beside("variant", "salt")).where("last.team <> team or (hot and last is null)")
-    met = saved(met, "variants-met")
-    heads = met.where("hot and last is null").select("team", "node", *beside("variant"))
-    return pairs(met).unionByName(pairs(heads)).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = [shingle_hashes(t, words).view(np.int64) for t in python_texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(every) if every else [], pa.int64())], names=["key"])
+
+    part = max(1, texts.count() // SAMPLED)
+    counted = texts.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0).select("text").mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    found = counted.where("n > 1").orderBy(F.desc("n"), "key").limit(MAX_LISTED).toArrow()
+    keys, n = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    rank = np.empty(len(keys), np.int32)
+    rank[np.lexsort((keys, n))] = np.arange(len(keys), dtype=np.int32)
+    order = np.argsort(keys)
+    return keys[order], rank[order]
+
+
+def _prefix(hashes: np.ndarray, similarity: float, keys: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles, rarest ones first, of which an alike text has at least one among its own first ones."""
+    size = len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1
+    if not len(keys):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    listed = keys[at] == hashes
+    rare = hashes[~listed][:size]
+    if len(rare) == size:
+        return rare
+    return np.concatenate([rare, hashes[listed][np.argsort(rank[at[listed]])][: size - len(rare)]])
+
+
+def _spanning(sets: list[np.ndarray], across: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Alike pairs that connect what all alike pairs connect, at most one less than there are ``sets``.
+
+    With ``across`` (a side for each set), only pairs of different sides are compared.
+    """
+    sizes = np.array([len(s) for s in sets])
+    every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, slot, n = np.unique(every, return_inverse=True, return_counts=True)
+    shared = n[slot] > 1
+    number = np.cumsum(n > 1) - 1
+    slot, owner = number[slot[shared]], owner[shared]
+    order = np.argsort(slot, kind="stable")
+    slot, owner = slot[order], owner[order]
+    left, right = (np.arange(len(sets)),) * 2 if across is None else (np.flatnonzero(~across), np.flatnonzero(across))
+    met = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((n > 1).sum()), 4_096):  # exact: float32 counts up to 2**24
+        s, e = np.searchsorted(slot, [first, first + 4_096])
+        has = np.zeros((len(sets), 4_096), np.float32)
+        has[owner[s:e], slot[s:e] - first] = 1
+        met += has[left] @ has[right].T
+    i, j = np.nonzero(met >= similarity * (sizes[left][:, None] + sizes[right][None, :] - met) - 1e-6)
+    up = list(range(len(sets)))
+    out = []
+    for x, y in zip(left[i].tolist(), right[j].tolist(), strict=True):
+        a, b = x, y
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out
 
 
-def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity: float = 0.8, prints: int = 3, part_bits: int = 32) -> DataFrame:
-    """``a, b``: hashes of texts (A-Z lower-cased) that are alike, as many pairs as the groups need."""
-    index, sketch = [f"p{i}" for i in range(prints)], [f"q{i}" for i in range(prints)]
-    names, sizes = index + sketch, [2] * prints + [words] * prints
+def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``a, b``: hashes of texts (A-Z lower-cased) that are alike. Every alike pair is among them or connected by them."""
+    texts = df.select(_text_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keys, rank = _frequent(texts, words)
+    listed = shipped(df.sparkSession, keys.tobytes()), shipped(df.sparkSession, rank.tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, rank = np.frombuffer(listed[0].value, np.uint64), np.frombuffer(listed[1].value, np.int32)
         for batch in batches:
-            found = [word_prints(t, sizes) for t in python_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(len(names)))], names=["node", *names])
+            every = [shingle_hashes(t, words) for t in python_texts(batch.column("text"))]
+            first = pa.array([_prefix(h, similarity, keys, rank).view(np.int64) for h in every], pa.list_(pa.int64()))
+            counts = [np.bincount((h >> np.uint64(32)).astype(np.int64) % COUNT_SLOTS, minlength=COUNT_SLOTS).astype("<u2").tobytes() for h in every]
+            counts = [None if len(h) > 65_535 else c for h, c in zip(every, counts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, every), pa.int32()), pa.array(counts, pa.binary()), first], names=["node", "size", "counts", "first"])
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "star"):
+            node, size = run["node"].to_numpy(), run["size"].to_numpy().astype(np.int64)
+            i, j = np.triu_indices(len(node), 1)
+            least = _least_shared(size[i], size[j], similarity)
+            fits = np.minimum(size[i], size[j]) >= least
+            i, j, least = i[fits], j[fits], least[fits]
+            counts = [None if c is None else np.frombuffer(c, "<u2") for c in run["counts"].to_pylist()]
+            fits = [counts[x] is None or counts[y] is None or np.minimum(counts[x], counts[y]).sum(dtype=np.int64) >= n for x, y, n in zip(i, j, least, strict=True)]
+            i, j = i[fits], j[fits]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, set[bytes]] = (None, set())
@@ -224,40 +261,38 @@ def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity:
                 alike.append(common >= similarity * (len(last[1]) + len(other) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = df.select(_text_of(text).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(wanted, "node", "left_semi")
-        return saved(texts.groupBy("node").agg(F.min("text").alias("text")), "near-texts")
-
-    def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        sided = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-        return saved(sided.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "near-verified")
-
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ["node", *names]])
-    known = saved(df.select(_text_of(text).alias("node"), F.col(text).alias("text")).mapInArrow(run, schema).groupBy("node").agg(*[F.min(n).alias(n) for n in names]), "prints")
-    equal = saved(_by_equal_parts(known.select("node", *index), part_bits), "near-equal-parts")
-    found = verified(equal, texts_of(equal))
-    teams = known.join(components(found), "node", "left").select("node", F.coalesce("component", "node").alias("team"), *index)
-    edges = _across(saved(teams, "near-teams"), part_bits)
-    of = lambda side: known.select(F.col("node").alias(side), *[F.col(n).alias(f"{side}{n}") for n in sketch])
-    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in sketch), F.lit(0))
-    most = _bits_apart(similarity, 64 * prints)
-    left = saved(edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", apart.alias("apart")).where(F.col("apart") <= most), "near-candidates")
-    texts = texts_of(left)
-
-    # rounds that verify each text's nearest partner outside its group so far, then all pairs that still would join two
-    for _ in range(ROUNDS):
-        if left.isEmpty():
-            return found
-        either = left.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))), "apart")
-        nearest = either.groupBy("node").agg(F.min(F.struct("apart", "other")).alias("best")).select(F.least("node", "best.other").alias("a"), F.greatest("node", "best.other").alias("b")).distinct()
-        nearest = saved(nearest, "near-next")
-        found = found.unionByName(verified(nearest, texts))
-        group = components(found)
-        of_side = lambda x: group.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))  # noqa: B023, E731
-        left = left.join(nearest, ["a", "b"], "left_anti").join(of_side("a"), "a", "left").join(of_side("b"), "b", "left")
-        left = saved(left.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "apart"), "near-left")
-    return found.unionByName(verified(left, texts))
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, "cell"):
+            node, side = run["node"].to_numpy(), run["side"].to_numpy(zero_copy_only=False)
+            sets = [shingle_hashes(t, words) for c in run["text"].chunks for t in python_texts(c)]
+            found = np.array(_spanning(sets, side if side.any() else None, similarity), np.int64).reshape(-1, 2)
+            a, b = node[found[:, 0]], node[found[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    known = saved(texts.mapInArrow(prefixes, "node long, size int, counts binary, first array<long>"), "near-prefixes")
+    entries = known.select("node", F.explode("first").alias("key"))
+    here = Window.partitionBy("key")
+    met = entries.select("node", F.min("node").over(here).alias("star"), F.max("node").over(here).alias("other")).where("star <> other")
+    stars = saved(met.select("star", "node").distinct(), "near-stars")
+    sizes = known.join(stars.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("counts").alias("counts"))
+    rows = saved(stars.join(sizes, "node"), "near-members")
+    wide = saved(rows.groupBy("star").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where(F.col("n") > SMALL_STAR), "near-wide")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+
+    small = rows.join(wide.select("star"), "star", "left_anti").repartition("star").sortWithinPartitions("star")
+    pairs = saved(small.mapInArrow(paired, "a long, b long").distinct(), "near-candidates")
+    large = rows.select("star", "node").join(wide.select("star", blocks.alias("blocks")), "star")
+    # a block meets itself and every other one, each in a cell of its own
+    own = F.pmod(F.xxhash64("node", "star"), "blocks").cast("int")
+    large = large.withColumn("own", own).select("star", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    cells = saved(large.select(F.xxhash64("star", F.least("own", "block"), F.greatest("own", "block")).alias("cell"), "node", (F.col("own") > F.col("block")).alias("side")), "near-cells")
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(cells.select("node")).distinct()
+    needed = saved(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+    sided = pairs.join(needed.toDF("a", "text_a"), "a").join(needed.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    alike = sided.mapInArrow(verify, "a long, b long")
+    spanning = cells.join(needed, "node").repartition("cell").sortWithinPartitions("cell").mapInArrow(compared, "a long, b long")
+    return saved(alike.unionByName(spanning).distinct(), "near-alike")
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -241,6 +241,26 @@ def test_near_groups_against_all_pairs(spark, sf):
     assert got <= want and sum(root[place[a]] == root[place[b]] for a, b in want) >= 0.9 * len(want), (len(got), len(want))
 
 
+@pytest.mark.parametrize("blocks", [64, 2_048])
+def test_near_groups_are_those_of_all_pairs(spark, monkeypatch, blocks):
+    """A large group of near copies, most of them too different: groups are those of all pairs, and rows don't grow with its square."""
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", blocks)
+    rng = random.Random(23)
+    base = [f"word{i}" for i in range(120)]
+    texts = []
+    for i in range(500):
+        at = set(rng.sample(range(120), rng.randrange(2, 7)))
+        texts.append(" ".join(f"own{i}x{k}" if k in at else w for k, w in enumerate(base)))
+    sets = [simhash.shingles(t, 5) for t in texts]
+    want = union_find(len(texts), [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    number = {r.h: r.doc_id for r in df.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    got = [(number[r.a], number[r.b]) for r in simhash.near_pairs(df).collect()]
+    assert 20 < len(set(want)) < 450
+    assert union_find(len(texts), got) == want and all(alike(texts[a], texts[b]) for a, b in got)
+    assert len(got) <= 20 * len(texts)
+
+
 def normal(line):
     kept = regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip()
     return kept or line.strip()
