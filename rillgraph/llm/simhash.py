@@ -15,7 +15,7 @@ n - ceil(0.8 n) + 1 of each. Here those come first that a sample of texts doesn'
 the sample decides on the cost alone. All texts that meet at a shingle belong to the star of the smallest text there, and
 a pair that meets anywhere is together in a star, so the rows grow with the shingles. In stars of up to ``SMALL_STAR``
 texts every pair is compared: first sizes and counts of shingles by slots, which bound what two texts can share, then the
-texts. Larger stars are cut into blocks, every two blocks meet in a task, and the task counts what all its pairs share by
+texts. Larger stars, and those of which that leaves over ``MOST_PAIRS`` pairs a text, are cut into blocks, every two blocks meet in a task, and the task counts what all its pairs share by
 matrix products and returns alike pairs that span the same groups, fewer than it has texts. So no link is lost and no
 pair is linked wrongly. In a star of m texts m**2 / 2 pairs are counted, dealt over tasks, but never made as rows.
 
@@ -106,11 +106,11 @@ def groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", *, words:
 #: Texts whose shingles are counted to find the frequent ones, and the most of these that are sent to the workers (12 bytes each).
 SAMPLED, MAX_LISTED = 16_384, 500_000
 
-#: Slots of the counts that bound how much two texts can share.
-COUNT_SLOTS = 256
+#: Shingles a slot in the counts that bound how much two texts can share; the number of slots is a power of two.
+SLOT_SHINGLES = 4
 
-#: Stars of more texts are compared in blocks of at most so many texts and shingles.
-SMALL_STAR, BLOCK_TEXTS, BLOCK_SHINGLES = 16, 2_048, 4_000_000
+#: Stars of more texts, or of more pairs a text that the counts leave, are compared in blocks of at most so many texts and shingles.
+SMALL_STAR, MOST_PAIRS, BLOCK_TEXTS, BLOCK_SHINGLES = 256, 4, 2_048, 4_000_000
 
 
 def shingles(text: str | None, words: int) -> set[bytes]:
@@ -139,6 +139,18 @@ def _least_shared(a, b, similarity: float):
     return np.ceil(similarity / (1 + similarity) * (a + b) - 1e-6)
 
 
+def _slot_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes fall into each slot."""
+    slots = 1 << max(6, (len(hashes) // SLOT_SHINGLES).bit_length())
+    return np.bincount((hashes >> np.uint64(32)).astype(np.int64) & (slots - 1), minlength=slots).astype("<u4")
+
+
+def _most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """A bound of the shingles that two texts share, from their counts; the finer ones are added up to the coarser."""
+    slots = min(len(a), len(b))
+    return int(np.minimum(a.reshape(-1, slots).sum(0), b.reshape(-1, slots).sum(0)).sum())
+
+
 def _runs(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
     """Tables of consecutive rows with one value of ``name``, from rows that are sorted by it."""
     held: list[pa.RecordBatch] = []
@@ -233,8 +245,7 @@ def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity:
         for batch in batches:
             every = [shingle_hashes(t, words) for t in python_texts(batch.column("text"))]
             first = pa.array([_prefix(h, similarity, keys, rank).view(np.int64) for h in every], pa.list_(pa.int64()))
-            counts = [np.bincount((h >> np.uint64(32)).astype(np.int64) % COUNT_SLOTS, minlength=COUNT_SLOTS).astype("<u2").tobytes() for h in every]
-            counts = [None if len(h) > 65_535 else c for h, c in zip(every, counts, strict=True)]
+            counts = [_slot_counts(h).tobytes() for h in every]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, every), pa.int32()), pa.array(counts, pa.binary()), first], names=["node", "size", "counts", "first"])
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,10 +255,13 @@ def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity:
             least = _least_shared(size[i], size[j], similarity)
             fits = np.minimum(size[i], size[j]) >= least
             i, j, least = i[fits], j[fits], least[fits]
-            counts = [None if c is None else np.frombuffer(c, "<u2") for c in run["counts"].to_pylist()]
-            fits = [counts[x] is None or counts[y] is None or np.minimum(counts[x], counts[y]).sum(dtype=np.int64) >= n for x, y, n in zip(i, j, least, strict=True)]
+            counts = [np.frombuffer(c, "<u4") for c in run["counts"].to_pylist()]
+            fits = np.array([_most_shared(counts[x], counts[y]) >= n for x, y, n in zip(i, j, least, strict=True)], bool)
             i, j = i[fits], j[fits]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
+            if len(i) > MOST_PAIRS * len(node):
+                yield pa.RecordBatch.from_arrays([pa.array([run["star"][0].as_py()], pa.int64()), pa.array([None], pa.int64())], names=["a", "b"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[str | None, set[bytes]] = (None, set())
@@ -276,11 +290,13 @@ def near_pairs(df: DataFrame, text: str = "text", *, words: int = 5, similarity:
     stars = saved(met.select("star", "node").distinct(), "near-stars")
     sizes = known.join(stars.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("counts").alias("counts"))
     rows = saved(stars.join(sizes, "node"), "near-members")
-    wide = saved(rows.groupBy("star").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where(F.col("n") > SMALL_STAR), "near-wide")
+    of_star = saved(rows.groupBy("star").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")), "near-star-sizes")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
 
-    small = rows.join(wide.select("star"), "star", "left_anti").repartition("star").sortWithinPartitions("star")
-    pairs = saved(small.mapInArrow(paired, "a long, b long").distinct(), "near-candidates")
+    small = rows.join(of_star.where(F.col("n") <= SMALL_STAR).select("star"), "star", "left_semi").repartition("star").sortWithinPartitions("star")
+    told = saved(small.mapInArrow(paired, "a long, b long").distinct(), "near-candidates")
+    pairs, dense = told.where("b is not null"), told.where("b is null").select(F.col("a").alias("star"))  # a star whose pairs are too many names itself
+    wide = of_star.join(dense, "star", "left_semi").unionByName(of_star.where(F.col("n") > SMALL_STAR))
     large = rows.select("star", "node").join(wide.select("star", blocks.alias("blocks")), "star")
     # a block meets itself and every other one, each in a cell of its own
     own = F.pmod(F.xxhash64("node", "star"), "blocks").cast("int")
