@@ -349,6 +349,22 @@ def test_line_hot_blocks(spark):
     assert len(found) >= 0.999 * len(rows) and {r.component for r in found} == {0}
 
 
+@pytest.mark.parametrize("cell", [16, 1_024])
+def test_line_groups_are_those_of_all_pairs(spark, monkeypatch, cell):
+    """Lines of the same words share every block; orders of words make groups whose lines are far apart in it."""
+    monkeypatch.setattr(line_dedup, "CELL_LINES", cell)
+    rng = random.Random(29)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(30)]
+    orders = [rng.sample(words, 30) for _ in range(12)]
+    lines = list(dict.fromkeys(" ".join([*orders[i % 12][:k], orders[i % 12][k], *orders[i % 12][k:]]) for i in range(120) for k in [rng.randrange(30)]))
+    pairs = alike_lines(spark, lines)
+    number = {x: i for i, x in enumerate(lines)}
+    want = union_find(len(lines), [(number[a], number[b]) for a, b in pairs])
+    out = line_dedup.duplicate_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert len(set(want)) == 12 and len(lines) > 90
+    assert {r.doc_id for r in out if not r.dropped} == set(want)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.01"  # sf0.001 has too few labels to learn from
     docs = common.documents(spark, sf)
