@@ -435,6 +435,21 @@ def test_line_distance(spark):
         assert got == want
 
 
+def test_line_distances_are_dealt(spark, monkeypatch):
+    """Distances are dealt over tasks by the number of pairs, whatever their bytes, and are the same in one band as after a narrower one."""
+    monkeypatch.setattr(line_dedup, "TASK_PAIRS", 50)
+    tasks, saved = [], line_dedup.saved
+    monkeypatch.setattr(line_dedup, "saved", lambda df, name: saved(df, name) if name != "alike" else (tasks.append(df.rdd.getNumPartitions()), saved(df, name))[1])
+    rng = random.Random(11)
+    base = "".join(rng.choice("abcde ") for _ in range(200)).split()
+    rows = [(i, " ".join([*base[: i % 20], *(["zzzz"] * (i % 17)), *base[i % 20 + i % 17 :]])) for i in range(40)]
+    texts = spark.createDataFrame(rows, "line long, norm string")
+    pairs = texts.select(F.col("line").alias("a")).join(texts.select(F.col("line").alias("b")), F.col("a") < F.col("b")).coalesce(1)
+    near, far = ({(r.a, r.b) for r in line_dedup._verified(pairs, texts, 0.8, mostly=m).collect()} for m in (True, False))
+    assert near == far and 20 < len(near) < 780
+    assert tasks == [16, 16]
+
+
 def test_line_recall(spark):
     """Pairs of lines with one replaced word that are 0.8 alike."""
     rng = random.Random(3)
